@@ -8,10 +8,11 @@ near windows. Walks and samples are repeated until a window whose embedding agre
 share ``agreement`` of its places is found with probability ``recall``; colliding windows
 are verified by exact semi-global edit distance.
 
-Windows are first cut to those that can match at all: a stretch within k edits leaves at
-least n - k of the item's words in the n-word window at its start, so windows with fewer
-benchmark words, or fewer different ones than the item has less k, cannot match. That
-test loses nothing and keeps walks off clean text.
+Windows are first cut to those that can match at all: k edits destroy at most q k of an
+item's n - q + 1 word q-grams (an insertion breaks q - 1 and pushes one beyond the window),
+so a window with fewer benchmark q-grams than are left, or fewer different ones, cannot
+match. That test loses nothing and keeps walks off clean text. q is 3, or less for items
+too short to keep a 3-gram.
 
 Items are a stated query set: they go to the tasks in blocks of ``block`` items. Defined
 cases: null text and texts without words match nothing; items that are null or without
@@ -28,33 +29,44 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm.shared import bounded_join, cut
+from scholium.llm.shared import bounded_join, cut, given_back, sent_id
 from scholium.llm.tokens import mix
 from scholium.llm.words import LetterWords
 
 SCHEMA = "doc_id long, item_id long, edits int, item_words int, start_word long, end_word long"
 
 
+def grams(words: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of the q-grams; none where there are fewer than q words."""
+    out = words[: max(0, len(words) - q + 1)]
+    for j in range(1, q):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[j : len(words) - q + 1 + j]
+    return mix(out)
+
+
 @dataclass
 class Plan:
-    """What tasks need: the items by length, the vocabulary and the walks."""
+    """What tasks need: the items by length, their q-grams and the walks."""
 
     items: list[tuple[int, np.ndarray]]
     similarity: float
     samples: int
     repeats: int
     seed: int
-    vocabulary: np.ndarray = field(init=False)
     by_length: dict[int, list[int]] = field(init=False)
 
     def __post_init__(self):
-        self.vocabulary = np.unique(np.concatenate([w for _, w in self.items]))
         self.by_length = {}
         for k, (_, w) in enumerate(self.items):
             self.by_length.setdefault(len(w), []).append(k)
-        self.least = min(self.by_length)
-        self.misses = max(self.edits(n) // max(1, n // self.least) for n in self.by_length)
-        self.kinds = {n: min(len(np.unique(self.items[k][1])) for k in ks) - self.edits(n) for n, ks in self.by_length.items()}
+        self.size = {n: next(q for q in (3, 2, 1) if n - q + 1 - q * self.edits(n) > 0) for n in self.by_length}
+        self.need = {n: n - q + 1 - q * self.edits(n) for n, q in self.size.items()}
+        self.known: dict[int, np.ndarray] = {}
+        self.kinds: dict[int, int] = {}
+        for n, q in self.size.items():
+            own = [np.unique(grams(self.items[k][1], q)) for k in self.by_length[n]]
+            self.kinds[n] = max(1, min(map(len, own)) - q * self.edits(n))
+            self.known[q] = np.unique(np.concatenate([self.known.get(q, np.zeros(0, np.uint64)), *own]))
         self.walks = {n: self._walks(n) for n in self.by_length}
         self.tables = {n: self._tables(ks) for n, ks in self.by_length.items()}
 
@@ -92,42 +104,71 @@ class Plan:
         order = np.argsort(keys, kind="stable")
         return keys[order], owner[order]
 
-    def survivors(self, known: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
-        """Offsets whose n-word window can match an item of n words."""
-        k, size = self.edits(n), len(words)
-        stop = np.minimum(np.arange(size) + n, size)
-        total = np.concatenate([[0], np.cumsum(known)])
-        fits = total[stop] - total[:size] >= n - k
+    def holds(self, values: np.ndarray, q: int) -> np.ndarray:
+        """Whether each q-gram is one of the benchmark's."""
+        known = self.known[q]
+        return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+    def hopeful(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Texts, words[bounds[k]:bounds[k+1]], with a stretch of the longest item's size that holds the fewest q-grams any item needs."""
+        out = np.zeros(len(bounds) - 1, bool)
+        for q in self.known:
+            reach = max(n for n in self.size if self.size[n] == q)
+            total = np.concatenate([[0], np.cumsum(self.holds(grams(words, q), q))])
+            last = len(total) - 1
+            dense = total[np.minimum(np.arange(last) + reach, last)] - total[:-1] >= min(self.need[n] for n in self.size if self.size[n] == q)
+            marked = np.concatenate([[0], np.cumsum(dense)])
+            out |= marked[np.minimum(bounds[1:], last)] > marked[np.minimum(bounds[:-1], last)]
+        return np.flatnonzero(out)
+
+    def survivors(self, held: np.ndarray, values: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
+        """Offsets whose n-word window can match an item of n words; ``before`` is each q-gram's last place so far."""
+        size, width = len(values), n - self.size[n] + 1
+        total = np.concatenate([[0], np.cumsum(held)])
+        fits = total[np.minimum(np.arange(size) + width, size)] - total[:size] >= self.need[n]
         if not fits.any():
             return np.zeros(0, np.int64)
-        order = np.argsort(words, kind="stable")
-        before = np.full(size, -1, np.int64)
-        same = words[order][1:] == words[order][:-1]
-        before[order[1:][same]] = order[:-1][same]
-        at = np.flatnonzero(known)
-        change = np.bincount(np.maximum(before[at] + 1, at - n + 1).clip(0), minlength=size + 1)[: size + 1] - np.bincount(at + 1, minlength=size + 1)[: size + 1]
+        at = np.flatnonzero(held)
+        change = np.bincount(np.maximum(before[at] + 1, at - width + 1).clip(0), minlength=size + 1) - np.bincount(at + 1, minlength=size + 1)
         return np.flatnonzero(fits & (np.cumsum(change)[:size] >= self.kinds[n]))
 
-    def matches(self, words: np.ndarray) -> list[tuple]:
-        """(item, edits, words, start, end) for every item that ``words`` holds, at its best place."""
-        size = len(words)
-        place = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        known = self.vocabulary[place] == words
-        padded = np.concatenate([words, np.zeros(max(self.by_length), np.uint64)])
-        found: dict[int, list[int]] = {}
-        for n in self.by_length:
-            offsets = self.survivors(known, words, n)
-            for a in range(0, len(offsets), 4096):
-                part = offsets[a : a + 4096]
-                keys = self.keys(padded[part[:, None] + np.arange(n)])
-                sorted_keys, owner = self.tables[n]
+    def matches(self, texts: list[np.ndarray]) -> list[list[tuple]]:
+        """For each text (as words): (item, edits, words, start, end) of every item that it holds, at its best place.
+
+        Windows of all texts are embedded together, one item size at a time.
+        """
+        longest = max(self.by_length)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        begins = np.cumsum(lengths + longest) - lengths - longest
+        gap = np.zeros(longest, np.uint64)
+        flat = np.concatenate([x for t in texts for x in (t, gap)]) if texts else gap
+        spots: dict[int, list[np.ndarray]] = {n: [] for n in self.by_length}
+        for words, begin in zip(texts, begins.tolist(), strict=True):
+            by_size = {}
+            for q in self.known:
+                values = grams(words, q)
+                order = np.argsort(values, kind="stable")
+                before = np.full(len(values), -1, np.int64)
+                same = values[order][1:] == values[order][:-1]
+                before[order[1:][same]] = order[:-1][same]
+                by_size[q] = (self.holds(values, q), values, before)
+            for n in self.by_length:
+                if len(at := self.survivors(*by_size[self.size[n]], n)):
+                    spots[n].append(at + begin)
+        found: dict[tuple[int, int], list[int]] = {}
+        for n, parts in spots.items():
+            offsets = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            sorted_keys, owner = self.tables[n]
+            for a in range(0, len(offsets), 8192):
+                part = offsets[a : a + 8192]
+                keys = self.keys(flat[part[:, None] + np.arange(n)])
                 lo, hi = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
-                rows, columns = np.nonzero(hi > lo)
-                for row, column in zip(rows.tolist(), columns.tolist(), strict=True):
+                for row, column in zip(*(x.tolist() for x in np.nonzero(hi > lo)), strict=True):
+                    text = int(np.searchsorted(begins, part[row], "right")) - 1
                     for item in owner[lo[row, column] : hi[row, column]].tolist():
-                        found.setdefault(item, []).append(int(part[row]))
-        out = []
-        for item, starts in found.items():
+                        found.setdefault((text, item), []).append(int(part[row] - begins[text]))
+        out: list[list[tuple]] = [[] for _ in texts]
+        for (text, item), starts in sorted(found.items()):
             item_id, pattern = self.items[item]
             n, k = len(pattern), self.edits(len(pattern))
             best, reach = None, -1
@@ -135,12 +176,12 @@ class Plan:
                 if start <= reach:
                     continue
                 reach = start + n // 2  # later starts lie in the stretch already searched
-                a, b = max(0, start - k), min(size, start + n // 2 + n + k)
-                hit = semi_global(pattern, words[a:b])
+                a, b = max(0, start - k), min(len(texts[text]), start + n // 2 + n + k)
+                hit = semi_global(pattern, texts[text][a:b])
                 if hit[0] <= k and (best is None or hit[0] < best[0]):
                     best = (hit[0], a + hit[1], a + hit[2])
             if best:
-                out.append((item_id, best[0], n, best[1], best[2]))
+                out[text].append((item_id, best[0], n, best[1], best[2]))
         return out
 
 
@@ -171,30 +212,23 @@ def _finder(plan: Plan):
         import pandas as pd
 
         read = LetterWords()
-        need = plan.least - plan.misses
         for batch in batches:
-            rows: list[tuple] = []
-            ids = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist()
+            ids = batch["doc_id"].tolist()
+            whose, texts = [], []
             for first, words, counts in read([t or "" for t in batch["text"]]):
                 bounds = np.concatenate([[0], np.cumsum(counts)])
-                if not len(words):
-                    continue
-                place = np.minimum(np.searchsorted(plan.vocabulary, words), len(plan.vocabulary) - 1)
-                total = np.concatenate([[0], np.cumsum(plan.vocabulary[place] == words)])
-                dense = total[np.minimum(np.arange(len(words)) + plan.least, len(words))] - total[:-1] >= need
-                marked = np.concatenate([[0], np.cumsum(dense)])
-                for k in np.flatnonzero(marked[bounds[1:]] > marked[bounds[:-1]]).tolist():
-                    own = words[bounds[k] : bounds[k + 1]]
-                    rows += [(ids[first + k], *m) for m in plan.matches(own)]
-            out = pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "item_words", "start_word", "end_word"])
-            yield out.astype({"doc_id": "Int64"})
+                for k in plan.hopeful(words, bounds).tolist():
+                    whose.append(ids[first + k])
+                    texts.append(words[bounds[k] : bounds[k + 1]].copy())
+            rows = [(doc_id, *m) for doc_id, found in zip(whose, plan.matches(texts), strict=True) for m in found]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "item_words", "start_word", "end_word"], dtype="int64")
 
     return find
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, samples: int = 4, agreement: float = 0.6, recall: float = 0.99, block: int = 20_000, seed: int = 7) -> DataFrame:
     """One row per document and benchmark item that it holds: edits, the item's words, and where (in words, end exclusive)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(sent_id("doc_id"), "text")
     read, parts, items = LetterWords(), [], []
 
     def search(items: list) -> DataFrame:
@@ -215,7 +249,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarity
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return given_back(out, "doc_id")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

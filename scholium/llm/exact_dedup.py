@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm.shared import cut
+from scholium.llm.shared import bounded_join, cut
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -153,10 +153,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
 def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with their columns."""
-    decided = exact_dedup(spark, docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    gone = cut(spark, exact_dedup(spark, docs).filter("NOT kept").select("doc_id", F.col("text_sha256").alias("__sha256"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("same")))
     marked = docs.withColumn("__sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    held = marked.join(decided, marked["doc_id"].eqNullSafe(decided["__id"]) & (marked["__sha256"] == decided["__sha"]), "left_semi")
-    return held.dropDuplicates(["doc_id", "__sha256"]).drop("__sha256")
+    held = bounded_join(marked, gone.filter("NOT same").drop("same"), ["doc_id", "__sha256"], "left_anti", 200_000)
+    if not gone.filter("same").isEmpty():  # rows equal in id and text: one of them stays
+        held = held.dropDuplicates(["doc_id", "__sha256"])
+    return held.drop("__sha256")
 
 
 SQL = """

@@ -24,6 +24,8 @@ from html.parser import HTMLParser
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from scholium.llm.shared import given_back, sent_id
+
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -209,4 +211,5 @@ def _extract(batches):
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every page."""
-    return pages.selectExpr("cast(page_id AS long) AS page_id", "url", "html").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(sent_id("page_id"), "url", "html").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    return given_back(rows, "page_id")

@@ -20,9 +20,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scholium.llm.shared import given_back, sent_id
 from scholium.llm.tokens import LETTER, WIDE, _classes, mix
 from scholium.llm.words import chunks
 
@@ -187,8 +189,6 @@ def training_sample(docs: DataFrame, most_rows: int, most_chars: int) -> tuple[l
 
 def _predictor(model: LanguageModel):
     def predict(batches):
-        import pandas as pd
-
         grams = Grams()
         for batch in batches:
             lang, score = model.decide([t or "" for t in batch["text"]], grams)
@@ -200,21 +200,17 @@ def _predictor(model: LanguageModel):
 def identify(spark: SparkSession, docs: DataFrame, most_rows: int = 2000, most_chars: int = 50_000) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row."""
     model = fit_languages(*training_sample(docs, most_rows, most_chars))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 4, 2).alias("held_out"), "text")
-    return rows.mapInPandas(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
-
-
-def _keeper(model: LanguageModel, least: float):
-    def keep(batches):
-        grams = Grams()
-        for batch in batches:
-            lang, score = model.decide([t or "" for t in batch["text"]], grams)
-            yield batch[[x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)]]
-
-    return keep
+    rows = docs.select(sent_id("doc_id"), held_out(F.col("doc_id"), 4, 2).alias("held_out"), "text")
+    return given_back(rows.mapInPandas(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double"), "doc_id")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The rows of ``docs`` whose language is predicted with a score of at least ``least``; ``und`` goes."""
     model = fit_languages(*training_sample(docs, 2000, 50_000))
-    return docs.mapInPandas(_keeper(model, least), docs.schema)
+
+    @F.pandas_udf("boolean")
+    def identified(text: pd.Series) -> pd.Series:
+        lang, score = model.decide([t or "" for t in text], Grams())
+        return pd.Series([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)], dtype=bool)
+
+    return docs.filter(identified("text"))

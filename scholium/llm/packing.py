@@ -22,6 +22,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from scholium.llm.shared import given_back, sent_id
 from scholium.llm.tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -103,11 +104,10 @@ def _packer(vocabulary: str | None, end_id: int, window: int, group_docs: int, l
         def frame():
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
             rows.clear()
-            return out.astype({"doc_id": "Int64"})
+            return out
 
         for batch in batches:
-            ids_of = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
-            for doc_id, ids in zip(ids_of, enc.encode([t or "" for t in batch["text"]]), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].tolist(), enc.encode([t or "" for t in batch["text"]]), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 whole = len(ids) // window * window
                 for at in range(0, whole, window):
@@ -128,5 +128,5 @@ def _packer(vocabulary: str | None, end_id: int, window: int, group_docs: int, l
 
 def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window: int = 2048, group_docs: int = 256, least: int = 32) -> DataFrame:
     """Pieces of documents with their sequence and offset; see the module for the method."""
-    rows = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text")
-    return rows.mapInPandas(_packer(vocabulary, end_id, window, group_docs, least), SCHEMA)
+    rows = docs.select(sent_id("doc_id"), "text")
+    return given_back(rows.mapInPandas(_packer(vocabulary, end_id, window, group_docs, least), SCHEMA), "doc_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholium.llm import decontaminate, exact_dedup, html_text, language, packing, pii, quality, token_files, warc
+from scholium.llm import decontaminate, exact_dedup, html_text, jaccard_join, language, packing, pii, quality, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, _table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark, _table(spark, sf_dir, "pages"))
 
@@ -47,5 +51,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_warc, op4_token_files, op5_exact_dedup, op7_html_text, op8_decontaminate, op9_language, op10_quality)}
-SQL = {"op1_pii": pii.SQL, "op3_warc": warc.SQL, "op5_exact_dedup": exact_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_warc, op4_token_files, op5_exact_dedup, op6_jaccard_join, op7_html_text, op8_decontaminate, op9_language, op10_quality)}
+SQL = {"op1_pii": pii.SQL, "op3_warc": warc.SQL, "op5_exact_dedup": exact_dedup.SQL, "op6_jaccard_join": jaccard_join.SQL}

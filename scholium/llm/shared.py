@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -78,6 +78,20 @@ def local_copy(uri: str):
         os.unlink(name)
 
 
+#: Stands for a null id inside Python tasks, where a null would turn a batch of ids into floats.
+NULL_ID = -(1 << 63)
+
+
+def sent_id(name: str) -> Column:
+    """An id column without nulls, for tasks."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID)).alias(name)
+
+
+def given_back(df: DataFrame, name: str) -> DataFrame:
+    """Nulls in the place of NULL_ID."""
+    return df.withColumn(name, F.nullif(F.col(name), F.lit(NULL_ID)))
+
+
 def bounded_join(docs: DataFrame, ids: DataFrame, on: list[str], how: str, limit: int = 500_000) -> DataFrame:
     """Semi or anti join of documents with a checkpointed id table, null-safe on ``on``.
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm.shared import file_system, local_copy, new_folder
+from scholium.llm.shared import NULL_ID, file_system, local_copy, new_folder, sent_id
 from scholium.llm.tokens import encoder
 
 MAGIC = b"SCHOTOK1"
@@ -51,8 +51,8 @@ def _writer(folder: str, vocabulary: str | None, end_id: int):
                 if parts:
                     out.write(np.concatenate(parts).astype(f"<u{width}").tobytes())
                 sizes.append(np.fromiter((len(c) + 1 for c in coded), np.int64, len(coded)))
-                nulls.append(batch["doc_id"].isna().to_numpy(np.uint8))
-                ids.append(batch["doc_id"].fillna(0).to_numpy(np.int64))
+                nulls.append((batch["doc_id"].to_numpy() == NULL_ID).astype(np.uint8))
+                ids.append(batch["doc_id"].to_numpy(np.int64))
         ids, nulls, sizes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, nulls, sizes))
         offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
         with store.open_output_stream(f"{root}/{name}.idx") as out:
@@ -67,7 +67,7 @@ def _writer(folder: str, vocabulary: str | None, end_id: int):
 def write_token_files(spark: SparkSession, docs: DataFrame, folder: str | None = None, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
     """Write shards in ascending doc_id order; returns the committed manifest (a row per shard) with global bases."""
     folder = folder or new_folder(spark, "tokens")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(sent_id("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInPandas(_writer(folder, vocabulary, end_id), MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     shards = sorted((r for r in spark.read.parquet(f"{folder}/manifest").collect()), key=lambda r: r["shard"])  # a row per partition
     base, out = 0, []
