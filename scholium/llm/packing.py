@@ -42,11 +42,11 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
         both = len(a) + len(b) - k
         if both <= 0:
             pairs = [*zip(a, in_a, strict=True), *zip(b, in_b, strict=True)]
-        else:  # the smallest of a take the largest of b
-            cut = len(a) - both
+        else:  # in opposing order: the largest of b meet a's empty windows, the next its smallest loads
+            cut, free = len(a) - both, k - len(a)
             pairs = list(zip(a[:cut], in_a[:cut], strict=True))
-            pairs += [(a[len(a) - 1 - j] + b[j], in_a[len(a) - 1 - j] + in_b[j]) for j in range(both)]
-            pairs += list(zip(b[both:], in_b[both:], strict=True))
+            pairs += list(zip(b[:free], in_b[:free], strict=True))
+            pairs += [(x + y, in_x + in_y) for x, y, in_x, in_y in zip(a[:cut - 1 if cut else None:-1], b[free:], in_a[:cut - 1 if cut else None:-1], in_b[free:], strict=True)]
         pairs.sort(key=lambda p: -p[0])
         loads, members = [p[0] for p in pairs], [p[1] for p in pairs]
         low = loads[-1] if len(loads) == k else 0
