@@ -116,10 +116,10 @@ def normalize_document_type(labels: Column) -> Column:
 def normalize_keyword(value: Column, clean=clean_text) -> Column:
     text = clean(value)
     norm = F.regexp_replace(squeezed(F.replace(F.lower(text), F.lit("_"), F.lit(" "))), r"^[ .;,]+|[ .;,]+$", "")
-    aliases = F.create_map(*[F.lit(x) for pair in KEYWORD_ALIASES.items() for x in pair])
     acronym = (F.length(text) <= 5) & (text == F.upper(text)) & (text != F.lower(text))
     shown = F.concat(F.upper(F.substring(norm, 1, 1)), F.substring(norm, 2, 1_000_000))
-    return F.when(text.isNull() | norm.isin(*GENERIC_TERMS), None).when(F.get(F.map_values(F.map_filter(aliases, lambda k, _: k == norm)), F.lit(0)).isNotNull(), F.try_element_at(aliases, norm)).when(acronym, text).otherwise(shown)
+    known = reduce(lambda acc, kv: F.when(norm == kv[0], kv[1]).otherwise(acc), KEYWORD_ALIASES.items(), F.when(acronym, text).otherwise(shown))
+    return F.when(text.isNotNull() & ~norm.isin(*GENERIC_TERMS), known)
 
 
 def date_parts(*dates: Column) -> tuple[Column, Column]:
@@ -140,7 +140,7 @@ def year_of(value: Column) -> Column:
 
 
 def split_list(value: Column, separators: str = r";|\|") -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), separators), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), separators), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def slug(value: Column, most: int = 80) -> Column:
