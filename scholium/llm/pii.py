@@ -82,7 +82,7 @@ def found(kind: str, text: Column, pattern: str) -> Column:
 def span_column(text: Column) -> Column:
     """Confirmed spans of all kinds, by kind and then by start."""
     none = F.array().cast(SPAN)
-    plain = F.translate(text, MARK, "x")
+    plain = F.translate(text, MARK, "\n")  # in no pattern
     dotted = F.regexp_replace(plain, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", MARK)
     joined = F.regexp_replace(plain, "(?<=[0-9])[ -](?=[0-9])", MARK)
 
