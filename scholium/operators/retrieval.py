@@ -72,7 +72,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2
 def top_ranked(scores: DataFrame, key: str, k: int, digits: int = 9) -> DataFrame:
     """The k best with rank, ties by key; scores rounded first so that summation order cannot matter."""
     top = scores.select(key, F.round("score", digits).alias("score")).orderBy(F.desc("score"), key).limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)).cast("long"))
 
 
 def tfidf_cosine(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
@@ -167,3 +167,30 @@ def cut_to_budget(text: pd.Series, budget: pd.Series) -> pd.Series:
         return "\n".join(out)
 
     return pd.Series([one(t, n) for t, n in zip(text, budget, strict=True)])
+
+
+def latent_vectors(docs: DataFrame, key: str, text: str, dimensions: int = 48, vocabulary: int = 4096) -> DataFrame:
+    """(key, vector): TF-IDF over a bounded vocabulary projected on its leading right singular vectors.
+
+    Signs and rotations are arbitrary; cosines between documents are not.
+    """
+    from pyspark.ml.feature import IDF, CountVectorizer
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    rows = docs.select(key, simple_tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
+    counted = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocabulary, minDF=2.0).fit(rows).transform(rows)
+    weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
+    matrix = RowMatrix(weighted.select("tfidf").rdd.map(lambda r: Vectors.fromML(r[0])))
+    k = min(dimensions, matrix.numCols() - 1)
+    v = matrix.computeSVD(k, False).V.toArray()  # vocabulary x k, bounded by both parameters
+    basis = F.array(*[F.array(*[F.lit(float(x)) for x in v[:, j]]) for j in range(k)]) if v.size <= 2000 else None
+    if basis is None:
+        table = docs.sparkSession.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "term int, axis array<double>")
+        flat = weighted.select(key, F.posexplode(vector_to_array("tfidf")).alias("term", "x")).filter("x <> 0")
+        parts = flat.join(F.broadcast(table), "term").select(key, F.posexplode(F.transform("axis", lambda a: a * F.col("x"))).alias("axis", "y"))
+        summed = parts.groupBy(key, "axis").agg(F.sum("y").alias("y")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "y"))), lambda s: s["y"]).alias("vector"))
+        return docs.select(key).join(summed, key, "left")
+    x = vector_to_array("tfidf")
+    return weighted.select(key, F.transform(basis, lambda b: F.aggregate(F.zip_with(x, b, lambda p, q: p * q), F.lit(0.0), lambda a, y: a + y)).alias("vector"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions import text as T
 from scholium.operators import diagnostics as D
+from scholium.operators import evidence as E
 from scholium.operators import graph as G
 from scholium.operators import networks as N
 from scholium.operators import programs as P
@@ -159,3 +160,21 @@ query("m_tumbling_counts", "SELECT date_trunc('hour', ts) AS start, event_type,
 query("m_sessions", ", x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS events FROM y GROUP BY user_id, s")(
     lambda c: ingest.sessions(c.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")).withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 )
+
+# ---- evidence ----
+
+query("d30_representative_works", ", l AS (SELECT DISTINCT keyword AS label FROM keywords), r AS (SELECT DISTINCT label, work_id FROM keywords JOIN l ON lower(trim(keyword)) = lower(trim(label))) SELECT label, work_id, row_number() OVER (PARTITION BY label ORDER BY cited_by_count DESC NULLS LAST, year DESC NULLS LAST, work_id) AS rank FROM r JOIN works USING (work_id) QUALIFY rank <= 3")(
+    lambda c: E.representative_works(c.works, c.keywords, c.keywords.select(F.col("keyword").alias("label")).distinct())
+)
+query("d25_temporal_vectors", f", t AS (SELECT keyword, year, count(DISTINCT work_id) AS works FROM keywords JOIN works USING (work_id) WHERE keyword IN {_TOP15} GROUP BY ALL) SELECT keyword, array_to_string([" + ", ".join(f"CAST(coalesce(sum(works) FILTER (WHERE year = {y}), 0) AS BIGINT)" for y in range(1995, 2002)) + "], ',') AS counts FROM t GROUP BY keyword")(
+    lambda c: E.temporal_vectors(A.term_trend(c.works, c.keywords, "keyword"), "keyword", list(range(1995, 2002))).select("keyword", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
+)
+query("d22_identity_audit", "SELECT 'customer' AS \"table\", count(*) FILTER (WHERE c_name IS NULL OR regexp_matches(lower(trim(c_name)), '(^|[:/])\\s*(none|null|nan|)/?$')) AS bad_rows, count(DISTINCT c_name) FILTER (WHERE regexp_matches(lower(trim(c_name)), '(^|[:/])\\s*(none|null|nan|)/?$')) AS bad_ids FROM customer UNION ALL SELECT 'pages', count(*) FILTER (WHERE url IS NULL OR regexp_matches(lower(trim(url)), '(^|[:/])\\s*(none|null|nan|)/?$')), count(DISTINCT url) FILTER (WHERE regexp_matches(lower(trim(url)), '(^|[:/])\\s*(none|null|nan|)/?$')) FROM pages")(
+    lambda c: E.identity_audit({"customer": (c.table("customer"), "c_name"), "pages": (c.table("pages"), "url")})
+)
+query("a31_claim_quality", _LAB + ", n AS (SELECT source AS condition, count(*) FILTER (WHERE quality = 1) AS g, count(*) FILTER (WHERE quality = 0) AS b FROM lab GROUP BY source), w AS (SELECT source AS condition, sum(n_chars) AS w, count(*) AS articles FROM documents GROUP BY source) SELECT condition, articles, 1000 * coalesce(g, 0) / w AS supported_per_1000, 1000 * coalesce(b, 0) / w AS unsupported_per_1000 FROM w LEFT JOIN n USING (condition)")(
+    lambda c: E.normalized_claim_quality(c.table("labels").select(F.col("doc_id").alias("article"), (F.col("quality") == 1).alias("supported")), c.documents.select(F.col("doc_id").alias("article"), F.col("source").alias("condition"), F.col("n_chars").alias("words")))
+)
+query("o10_word_budget")(lambda c: E.word_budget(c.table("conversations").select("conv_id", F.col("turn").alias("position"), F.size(F.split("text", r"\s+")).cast("long").alias("words"), F.length("text").cast("double").alias("value"), (F.col("turn") == 0).alias("required")), "conv_id", 60))
+query("d20_unexpected_numbers")(lambda c: E.unexpected_numbers(c.documents, "doc_id", "text", c.documents.select((F.col("doc_id") % 10).cast("string").alias("number"))))
+query("t04_latent_vectors")(lambda c: R.latent_vectors(c.documents, "doc_id", "text", 8, 512).select("doc_id", F.size("vector").alias("dimensions")))

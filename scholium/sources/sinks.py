@@ -32,7 +32,7 @@ def vosviewer(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
 
     ``nodes``: id, label, occurrences, cluster of a displayed, so bounded, network.
     """
-    ranked = nodes.select("id", "label", "occurrences", "cluster", F.row_number().over(Window.orderBy(F.desc("occurrences"), "id")).alias("number"))
+    ranked = nodes.select("id", "label", "occurrences", "cluster", F.row_number().over(Window.orderBy(F.desc("occurrences"), "id")).cast("long").alias("number"))
     ids = ranked.select(F.col("id").alias("__id"), "number")
     a, b = F.broadcast(ids.toDF("source", "na")), F.broadcast(ids.toDF("target", "nb"))
     rows = edges.filter("source <> target").join(a, "source").join(b, "target")
