@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm.shared import bounded_join, cut, given_back, sent_id
+from scholium.llm.shared import bounded_join, cut, given_back, release, sent_id
 from scholium.llm.tokens import mix
 from scholium.llm.words import LetterWords
 
@@ -221,6 +221,7 @@ def _finder(plan: Plan):
                     whose.append(ids[first + k])
                     texts.append(words[bounds[k] : bounds[k + 1]].copy())
             rows = [(doc_id, *m) for doc_id, found in zip(whose, plan.matches(texts), strict=True) for m in found]
+            release()
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "item_words", "start_word", "end_word"], dtype="int64")
 
     return find

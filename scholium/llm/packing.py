@@ -22,7 +22,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from scholium.llm.shared import given_back, sent_id
+from scholium.llm.shared import given_back, release, sent_id
 from scholium.llm.tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -75,6 +75,14 @@ def halves(n: int, least: int) -> list[int]:
     return [*edges, n]
 
 
+def encoded(batches, enc, docs: int = 500):
+    """(doc_id, ids) of every row, a few documents at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), docs):
+            part = batch.iloc[at : at + docs]
+            yield from zip(part["doc_id"].tolist(), enc.encode([t or "" for t in part["text"]]), strict=True)
+
+
 def _packer(vocabulary: str | None, end_id: int, window: int, group_docs: int, least: int):
     def pack(batches):
         import pandas as pd
@@ -106,22 +114,23 @@ def _packer(vocabulary: str | None, end_id: int, window: int, group_docs: int, l
             rows.clear()
             return out
 
-        for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].tolist(), enc.encode([t or "" for t in batch["text"]]), strict=True):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                whole = len(ids) // window * window
-                for at in range(0, whole, window):
-                    rows.append((doc_id, at, window, zlib.crc32(ids[at : at + window].tobytes()), len(ids), first + sequence, 0))
-                    sequence += 1
-                if whole < len(ids):
-                    waiting.append((doc_id, whole, ids[whole:].copy(), len(ids)))
-                    if len(waiting) >= group_docs:
-                        flush()
-            if rows:
+        release()
+        for doc_id, ids in encoded(batches, enc):
+            ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+            whole = len(ids) // window * window
+            for at in range(0, whole, window):
+                rows.append((doc_id, at, window, zlib.crc32(ids[at : at + window].tobytes()), len(ids), first + sequence, 0))
+                sequence += 1
+            if whole < len(ids):
+                waiting.append((doc_id, whole, ids[whole:].copy(), len(ids)))
+                if len(waiting) >= group_docs:
+                    flush()
+            if len(rows) >= 10_000:
                 yield frame()
         flush()
         if rows:
             yield frame()
+        release()
 
     return pack
 

@@ -92,6 +92,22 @@ def given_back(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.nullif(F.col(name), F.lit(NULL_ID)))
 
 
+def release() -> None:
+    """Give memory that earlier tasks of this Python worker freed back to the system.
+
+    Workers serve task after task, and the C allocator and Arrow's pool keep what was freed.
+    """
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def bounded_join(docs: DataFrame, ids: DataFrame, on: list[str], how: str, limit: int = 500_000) -> DataFrame:
     """Semi or anti join of documents with a checkpointed id table, null-safe on ``on``.
 
