@@ -46,6 +46,19 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def lowest_hashes(frame: DataFrame, group: str, order: str, each: int, counts: dict) -> DataFrame:
+    """The rows that may be among the ``each`` lowest of their group by a 64-bit hash column.
+
+    A group of n rows keeps those below twice the share each / n (and a margin), so that what a ranking
+    gathers by group is bounded by the sample and not by the group.
+    """
+    bound = F.lit(None).cast("long")
+    for value, n in counts.items():
+        share = min(1.0, (2 * each + 64) / max(1, n))
+        bound = F.when(F.col(group) == value, F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64))))).otherwise(bound)
+    return frame.filter(F.col(order) <= bound)
+
+
 class Grams:
     """Hashed n-gram places of texts: (grams, places per text, letters per text) by chunk."""
 
@@ -181,7 +194,7 @@ def training_sample(docs: DataFrame, most_rows: int, most_chars: int) -> tuple[l
     usable = usable.select("doc_id", "lang", F.xxhash64(F.col("doc_id"), F.lit(11)).alias("order"))
     langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
     each = most_rows // max(1, len(langs))
-    ranked = usable.filter(F.col("lang").isin([r["lang"] for r in langs])).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).filter(F.col("rank") <= each)
+    ranked = lowest_hashes(usable, "lang", "order", each, {r["lang"]: r["count"] for r in langs}).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).filter(F.col("rank") <= each)
     chosen = ranked.select(F.col("doc_id").alias("id"), F.col("lang").alias("of"))
     rows = docs.join(F.broadcast(chosen), (docs["doc_id"] == chosen["id"]) & (docs["lang"] == chosen["of"])).select("doc_id", "text", "lang").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
