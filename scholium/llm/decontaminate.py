@@ -2,17 +2,19 @@
 
 Texts are compared as words (runs of letters and digits, case folded). A document matches
 an item of n words when some stretch of it is within floor((1 - similarity) * n) word
-edits. A CGK random walk maps a window of item size to a string three times as long in
-which edit distance becomes Hamming distance; keys of a few sampled places collide for
-near windows. Walks and samples are repeated until a window whose embedding agrees in a
-share ``agreement`` of its places is found with probability ``recall``; colliding windows
-are verified by exact semi-global edit distance.
+edits. A CGK random walk maps a window of item size to a longer string in which edit
+distance becomes Hamming distance; keys of a few sampled places collide for near windows.
+How long walks are (one to three times the item), how many places make a key and how often
+both are repeated follows for each item size from the agreement measured at the most edits
+allowed (:func:`tuned`), so that a match at that limit is found with probability
+``recall``; colliding windows are verified by exact semi-global edit distance.
 
 Windows are first cut to those that can match at all: k edits destroy at most q k of an
 item's n - q + 1 word q-grams (an insertion breaks q - 1 and pushes one beyond the window),
 so a window with fewer benchmark q-grams than are left, or fewer different ones, cannot
-match. That test loses nothing and keeps walks off clean text. q is 3, or less for items
-too short to keep a 3-gram.
+match. It must also hold that many q-grams of one item of its size. These tests lose
+nothing and keep walks off clean text. q is 3, or less for items too short to keep a
+3-gram.
 
 Items are a stated query set: they go to the tasks in blocks of ``block`` items. Defined
 cases: null text and texts without words match nothing; items that are null or without
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -44,22 +47,104 @@ def grams(words: np.ndarray, q: int) -> np.ndarray:
     return mix(out)
 
 
+def gram_size(n: int, k: int) -> int:
+    return next(q for q in (3, 2, 1) if n - q + 1 - q * k > 0)
+
+
+def walk(windows: np.ndarray, salts: np.ndarray):
+    """The words (windows x walks) at each step of CGK walks over rows of n words; 0 past the end."""
+    count, n = windows.shape
+    padded = np.concatenate([windows, np.zeros((count, 1), np.uint64)], 1).ravel()
+    first = (np.arange(count) * (n + 1))[:, None]
+    at = np.zeros((count, len(salts)), np.int64)
+    for j in range(salts.shape[1]):
+        word = padded[first + np.minimum(at, n)]
+        yield word
+        at += (((word ^ salts[:, j]) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(63)).astype(np.int64)
+
+
+def edited(words: np.ndarray, k: int, kind: str, rng: np.random.Generator) -> np.ndarray:
+    """``words`` after k edits of a kind, at random places or in one run."""
+    n = len(words)
+    new = rng.integers(1, 1 << 60, k).astype(np.uint64)
+    if kind == "substitutions":
+        words = words.copy()
+        words[rng.choice(n, k, replace=False)] = new
+        return words
+    if kind.startswith("deletion"):
+        return np.delete(words, rng.choice(n, k, replace=False) if kind == "deletions" else rng.integers(0, n - k + 1) + np.arange(k))
+    return np.insert(words, np.sort(rng.integers(0, n + 1, k)) if kind == "insertions" else np.full(k, rng.integers(0, n + 1)), new)
+
+
+KINDS = ("deletions", "deletion run", "insertions", "insertion run", "substitutions")
+
+
+@lru_cache(maxsize=4096)
+def tuned(n: int, k: int, samples: int, repeats: int, recall: float, pairs: int = 48, walks: int = 32) -> tuple[int, int, int]:
+    """(steps, samples, repeats) that find an item of n words after k edits with probability ``recall``.
+
+    Measured on made items after k edits of each kind, over the windows that pass the q-gram test (at most nine
+    of them; padding does not count as agreement). The most samples, up to ``samples``, that need at most
+    ``repeats`` repeats are taken; a single sample is repeated as often as it takes.
+    """
+    rng = np.random.default_rng([n, k])
+    q = gram_size(n, k)
+    salts = rng.integers(1, 1 << 63, (walks, 3 * n), dtype=np.uint64)
+    shifts = np.unique(np.linspace(-k, k, min(9, 2 * k + 1)).round().astype(int))
+    agreements: dict[int, list[np.ndarray]] = {n: [], 2 * n: [], 3 * n: []}
+    for kind in KINDS:
+        items, windows, hopeful = [], [], []
+        for _ in range(pairs):
+            item = rng.integers(1, 1 << 60, n).astype(np.uint64)
+            text = np.concatenate([rng.integers(1, 1 << 60, k).astype(np.uint64), edited(item, k, kind, rng), rng.integers(1, 1 << 60, n + 2 * k + q).astype(np.uint64)])
+            held = np.isin(grams(text, q), grams(item, q))
+            items.append(item)
+            windows += [text[k + s : k + s + n] for s in shifts]
+            hopeful.append([held[k + s : k + s + n - q + 1].sum() >= n - q + 1 - q * k for s in shifts])
+        agree = np.zeros((pairs, len(shifts), walks))
+        for j, (own, other) in enumerate(zip(walk(np.stack(items), salts), walk(np.stack(windows), salts), strict=True), 1):
+            own = own[:, None]
+            agree += (other.reshape(agree.shape) == own) & (own > 0)
+            if j in agreements:
+                agreements[j].append(agree / j * np.array(hopeful)[:, :, None])
+
+    def needed(steps: int, s: int) -> int:
+        most = 1
+        for agree in agreements[steps]:
+            missed = 1 - (agree**s).max(1).mean(1)  # of each pair, by one repeat
+            while (missed**most).mean() > 1 - recall:
+                most += max(1, most // 16)
+                if most > 100_000:
+                    return most
+        return most
+
+    for s in range(samples, 0, -1):
+        count, steps = min((needed(steps, s) * steps, steps) for steps in agreements)
+        if count // steps <= repeats or s == 1:
+            return steps, min(s, steps), count // steps
+    raise ValueError("samples must be positive")
+
+
 @dataclass
 class Plan:
-    """What tasks need: the items by length, their q-grams and the walks."""
+    """What tasks need: the items by length, their q-grams and the walks.
+
+    ``samples`` and ``repeats`` are what :func:`tuned` prefers; it repeats more often where ``recall`` takes it.
+    """
 
     items: list[tuple[int, np.ndarray]]
     similarity: float
     samples: int
     repeats: int
     seed: int
+    recall: float = 0.995
     by_length: dict[int, list[int]] = field(init=False)
 
     def __post_init__(self):
         self.by_length = {}
         for k, (_, w) in enumerate(self.items):
             self.by_length.setdefault(len(w), []).append(k)
-        self.size = {n: next(q for q in (3, 2, 1) if n - q + 1 - q * self.edits(n) > 0) for n in self.by_length}
+        self.size = {n: gram_size(n, self.edits(n)) for n in self.by_length}
         self.need = {n: n - q + 1 - q * self.edits(n) for n, q in self.size.items()}
         self.known: dict[int, np.ndarray] = {}
         self.kinds: dict[int, int] = {}
@@ -67,6 +152,7 @@ class Plan:
             own = [np.unique(grams(self.items[k][1], q)) for k in self.by_length[n]]
             self.kinds[n] = max(1, min(map(len, own)) - q * self.edits(n))
             self.known[q] = np.unique(np.concatenate([self.known.get(q, np.zeros(0, np.uint64)), *own]))
+        self.hosts = {q: self._hosts(q) for q in self.known}
         self.walks = {n: self._walks(n) for n in self.by_length}
         self.tables = {n: self._tables(ks) for n, ks in self.by_length.items()}
 
@@ -75,32 +161,56 @@ class Plan:
 
     def keys(self, windows: np.ndarray) -> np.ndarray:
         """LSH keys, (windows x repeats), of the rows of ``windows`` (windows x n words)."""
-        count, n = windows.shape
-        padded = np.concatenate([windows, np.zeros((count, 1), np.uint64)], 1).ravel()
-        first = np.arange(count) * (n + 1)
-        out = np.empty((count, self.repeats), np.uint64)
-        for r in range(self.repeats):
-            salts, sampled = self.walks[n][r]
-            at = np.zeros(count, np.int64)
-            key = np.full(count, r + 1, np.uint64)
-            for j in range(sampled[-1] + 1):
-                word = padded[first + np.minimum(at, n)]
-                if j in sampled:
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + word)
-                at += (((word ^ salts[j]) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(63)).astype(np.int64)
-            out[:, r] = key
+        salts, at_step = self.walks[windows.shape[1]]
+        out = np.empty((len(windows), len(salts)), np.uint64)
+        each = max(1, 65_536 // len(salts))
+        for a in range(0, len(windows), each):
+            part = windows[a : a + each]
+            key = np.repeat(np.arange(1, len(salts) + 1, dtype=np.uint64)[None], len(part), 0)
+            for word, those in zip(walk(part, salts), at_step, strict=True):
+                if len(those):
+                    key[:, those] = mix(key[:, those] * np.uint64(0x9E3779B97F4A7C15) + word[:, those])
+            out[a : a + each] = key
         return out
 
-    def _walks(self, n: int) -> list[tuple[np.ndarray, list[int]]]:
-        """Salts of every step and the sampled steps, for each repeat; 2 n steps reach about the end of n words."""
+    def _walks(self, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Salts (repeats x steps) and, for each step, the repeats that sample it."""
+        steps, samples, repeats = tuned(n, self.edits(n), self.samples, self.repeats, self.recall)
         rng = np.random.default_rng([self.seed, n])
-        steps = 2 * n
-        return [(rng.integers(1, 1 << 63, steps, dtype=np.uint64), sorted(rng.choice(steps, min(self.samples, steps), replace=False).tolist())) for _ in range(self.repeats)]
+        sampled = np.zeros((repeats, steps), bool)
+        for row in sampled:
+            row[rng.choice(steps, samples, replace=False)] = True
+        last = int(np.flatnonzero(sampled.any(0))[-1]) + 1
+        return rng.integers(1, 1 << 63, (repeats, last), dtype=np.uint64), [np.flatnonzero(c) for c in sampled.T[:last]]
+
+    def _hosts(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """The different q-grams of each item with that q, sorted, and their items."""
+        own = [(k, np.unique(grams(w, q))) for k, (_, w) in enumerate(self.items) if self.size[len(w)] == q]
+        values, owner = np.concatenate([g for _, g in own]), np.repeat([k for k, _ in own], [len(g) for _, g in own])
+        order = np.argsort(values, kind="stable")
+        return values[order], owner[order]
+
+    def reaches(self, at: np.ndarray, values: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, first, last offset) of the windows that hold as many q-grams of one item as it needs; ``at`` are the places of the benchmark's."""
+        known, owner = self.hosts[q]
+        lo, hi = np.searchsorted(known, values[at], "left"), np.searchsorted(known, values[at], "right")
+        many = hi - lo
+        item = owner[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        place = np.repeat(at, many)
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], place[order]
+        lengths = np.array([len(w) for _, w in self.items])[item]
+        width = lengths - q + 1
+        end = np.arange(len(item)) + np.array([self.need.get(n, 1) for n in range(max(self.need) + 1)])[lengths] - 1
+        inside = np.minimum(end, len(item) - 1)
+        fits = (end < len(item)) & (item[inside] == item) & (place[inside] - place < width)
+        return item[fits], np.maximum(0, place[inside] - width + 1)[fits], place[fits]
 
     def _tables(self, ks: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Sorted keys of items of one length, and their items."""
-        keys = self.keys(np.stack([self.items[k][1] for k in ks])).ravel()
-        owner = np.repeat(ks, self.repeats)
+        keys = self.keys(np.stack([self.items[k][1] for k in ks]))
+        owner = np.repeat(ks, keys.shape[1])
+        keys = keys.ravel()
         order = np.argsort(keys, kind="stable")
         return keys[order], owner[order]
 
@@ -143,19 +253,25 @@ class Plan:
         gap = np.zeros(longest, np.uint64)
         flat = np.concatenate([x for t in texts for x in (t, gap)]) if texts else gap
         spots: dict[int, list[np.ndarray]] = {n: [] for n in self.by_length}
-        for words, begin in zip(texts, begins.tolist(), strict=True):
-            by_size = {}
+        can: set[tuple[int, int]] = set()
+        for text, (words, begin) in enumerate(zip(texts, begins.tolist(), strict=True)):
             for q in self.known:
                 values = grams(words, q)
                 order = np.argsort(values, kind="stable")
                 before = np.full(len(values), -1, np.int64)
                 same = values[order][1:] == values[order][:-1]
                 before[order[1:][same]] = order[:-1][same]
-                by_size[q] = (self.holds(values, q), values, before)
-            for n in self.by_length:
-                if len(at := self.survivors(*by_size[self.size[n]], n)):
-                    spots[n].append(at + begin)
-        found: dict[tuple[int, int], list[int]] = {}
+                held = self.holds(values, q)
+                item, low, high = self.reaches(np.flatnonzero(held), values, q)
+                can.update((text, k) for k in np.unique(item).tolist())
+                lengths = np.array([len(w) for _, w in self.items])[item]
+                for n in np.unique(lengths).tolist():
+                    use = lengths == n
+                    cover = np.cumsum(np.bincount(low[use], minlength=len(values) + 1) - np.bincount(high[use] + 1, minlength=len(values) + 1))
+                    at = self.survivors(held, values, before, n)
+                    if len(at := at[cover[at] > 0]):
+                        spots[n].append(at + begin)
+        found: dict[tuple[int, int], set[int]] = {}
         for n, parts in spots.items():
             offsets = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             sorted_keys, owner = self.tables[n]
@@ -166,13 +282,14 @@ class Plan:
                 for row, column in zip(*(x.tolist() for x in np.nonzero(hi > lo)), strict=True):
                     text = int(np.searchsorted(begins, part[row], "right")) - 1
                     for item in owner[lo[row, column] : hi[row, column]].tolist():
-                        found.setdefault((text, item), []).append(int(part[row] - begins[text]))
+                        if (text, item) in can:
+                            found.setdefault((text, item), set()).add(int(part[row] - begins[text]))
         out: list[list[tuple]] = [[] for _ in texts]
         for (text, item), starts in sorted(found.items()):
             item_id, pattern = self.items[item]
             n, k = len(pattern), self.edits(len(pattern))
             best, reach = None, -1
-            for start in sorted(set(starts)):
+            for start in sorted(starts):
                 if start <= reach:
                     continue
                 reach = start + n // 2  # later starts lie in the stretch already searched
@@ -204,6 +321,7 @@ def semi_global(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 def _repeats(samples: int, agreement: float, recall: float) -> int:
+    """Repeats that find a window whose embedding agrees in a known share of its places."""
     return math.ceil(math.log(1 - recall) / math.log(1 - agreement**samples))
 
 
@@ -227,13 +345,13 @@ def _finder(plan: Plan):
     return find
 
 
-def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, samples: int = 4, agreement: float = 0.6, recall: float = 0.99, block: int = 20_000, seed: int = 7) -> DataFrame:
+def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, samples: int = 4, repeats: int = 64, recall: float = 0.995, block: int = 20_000, seed: int = 7) -> DataFrame:
     """One row per document and benchmark item that it holds: edits, the item's words, and where (in words, end exclusive)."""
     rows = docs.select(sent_id("doc_id"), "text")
     read, parts, items = LetterWords(), [], []
 
     def search(items: list) -> DataFrame:
-        plan = Plan(items, similarity, samples, _repeats(samples, agreement, recall), seed)
+        plan = Plan(items, similarity, samples, repeats, seed, recall)
         return rows.mapInPandas(_finder(plan), SCHEMA)
 
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():

@@ -95,6 +95,29 @@ def test_leak_recall(share):
     assert plan.matches([rng.integers(1, 1 << 60, 500).astype(np.uint64), np.zeros(0, np.uint64)]) == [[], []]
 
 
+@pytest.mark.parametrize("kind", ["deletions", "insertions", "substitutions"])
+@pytest.mark.parametrize("n", [16, 40, 58, 100, 200])
+def test_leak_recall_at_the_limit(n, kind):
+    """Items with as many edits as the operator allows are found, against brute force."""
+    rng = np.random.default_rng([n, len(kind)])
+    items = [(k, rng.integers(1, 1 << 60, n).astype(np.uint64)) for k in range(60)]
+    plan = decontaminate.Plan(items, 0.8, 4, 64, 7)
+    edits, texts = plan.edits(n), []
+    for _, words in items:
+        if kind == "deletions":
+            words = np.delete(words, rng.choice(n, edits, replace=False))
+        elif kind == "insertions":
+            words = np.insert(words, np.sort(rng.integers(0, n + 1, edits)), rng.integers(1, 1 << 60, edits).astype(np.uint64))
+        else:
+            words = words.copy()
+            words[rng.choice(n, edits, replace=False)] = rng.integers(1, 1 << 60, edits)
+        texts.append(np.concatenate([rng.integers(1, 1 << 60, 70).astype(np.uint64), words, rng.integers(1, 1 << 60, 50).astype(np.uint64)]))
+    for k in range(0, len(items), 20):
+        assert brute_edits(items[k][1].tolist(), texts[k].tolist()) <= edits
+    hits = sum(any(m[0] == k for m in found) for k, found in enumerate(plan.matches(texts)))
+    assert hits >= 0.98 * len(items)
+
+
 def test_region_links_connect_what_brute_force_connects():
     rng = random.Random(6)
     sets = []
