@@ -325,46 +325,62 @@ def _repeats(samples: int, agreement: float, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - agreement**samples))
 
 
-def _finder(plan: Plan):
+def _finder(plan: Plan, names: list[str]):
     def find(batches):
         import pandas as pd
 
         read = LetterWords()
         for batch in batches:
-            ids = batch["doc_id"].tolist()
+            ids = list(zip(*(batch[c].tolist() for c in names), strict=True))
             whose, texts = [], []
             for first, words, counts in read([t or "" for t in batch["text"]]):
                 bounds = np.concatenate([[0], np.cumsum(counts)])
                 for k in plan.hopeful(words, bounds).tolist():
                     whose.append(ids[first + k])
                     texts.append(words[bounds[k] : bounds[k + 1]].copy())
-            rows = [(doc_id, *m) for doc_id, found in zip(whose, plan.matches(texts), strict=True) for m in found]
+            rows = [(*row, *m) for row, found in zip(whose, plan.matches(texts), strict=True) for m in found]
             release()
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "item_words", "start_word", "end_word"], dtype="int64")
+            out = pd.DataFrame(rows, columns=[*names, "item_id", "edits", "item_words", "start_word", "end_word"])
+            yield out.astype({c: "int64" for c in out.columns if c != "digest"})
 
     return find
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, samples: int = 4, repeats: int = 64, recall: float = 0.995, block: int = 20_000, seed: int = 7) -> DataFrame:
     """One row per document and benchmark item that it holds: edits, the item's words, and where (in words, end exclusive)."""
-    rows = docs.select(sent_id("doc_id"), "text")
+    return _found(spark, docs.select(sent_id("doc_id"), "text"), benchmark, SCHEMA, Settings(similarity, samples, repeats, recall, block, seed))
+
+
+@dataclass
+class Settings:
+    similarity: float = 0.8
+    samples: int = 4
+    repeats: int = 64
+    recall: float = 0.995
+    block: int = 20_000
+    seed: int = 7
+
+
+def _found(spark: SparkSession, rows: DataFrame, benchmark: DataFrame, schema: str, use: Settings) -> DataFrame:
+    """The matches of ``rows`` with their columns besides the text."""
+    names = [c for c in rows.columns if c != "text"]
     read, parts, items = LetterWords(), [], []
 
     def search(items: list) -> DataFrame:
-        plan = Plan(items, similarity, samples, repeats, seed, recall)
-        return rows.mapInPandas(_finder(plan), SCHEMA)
+        plan = Plan(items, use.similarity, use.samples, use.repeats, use.seed, use.recall)
+        return rows.mapInPandas(_finder(plan, names), schema)
 
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         words = np.concatenate([np.zeros(0, np.uint64), *(w for _, w, _ in read([r["text"]]))])
         if len(words):
             items.append((r["item_id"], words))
-        if len(items) >= block:
+        if len(items) >= use.block:
             parts.append(search(items))
             items = []
     if items:
         parts.append(search(items))
     if not parts:
-        return spark.createDataFrame([], SCHEMA)
+        return spark.createDataFrame([], schema)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -372,6 +388,9 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarity
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
-    found = cut(spark, leaks(spark, docs, benchmark).select("doc_id").distinct())
-    return bounded_join(docs, found, ["doc_id"], "left_anti")
+    """The rows of ``docs`` that hold no benchmark item; ids may be null or shared, so rows are told apart by id and text."""
+    marked = docs.withColumn("__sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = marked.select(sent_id("doc_id"), F.col("__sha256").alias("digest"), "text")
+    found = _found(spark, rows, benchmark, SCHEMA.replace("doc_id long", "doc_id long, digest string"), Settings())
+    gone = cut(spark, found.select("doc_id", F.col("digest").alias("__sha256")).distinct())
+    return bounded_join(marked, gone, ["doc_id", "__sha256"], "left_anti", 200_000).drop("__sha256")

@@ -160,3 +160,33 @@ def test_quality_ranking():
     assert model.score(good[:1])[0] > 0.5 > model.score(bad[:1])[0]
     assert fit_quality(x, np.ones(40), 0.0).score(["", "a"]).tolist() == [0.5, 0.5]
     assert np.isfinite(features("")).all()
+
+
+def test_pipeline_decides_by_row(spark):
+    """Null and shared ids: clean rows stay beside leaking and near-copy rows, and one row of a component stays."""
+    rng = random.Random(8)
+
+    def text(n=40):
+        return " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+
+    item, near, alike, shared = text(20), text(), text(), text()
+    clean = [(None, text()), (7, text()), (9, text()), (None, ""), (None, "")]
+    rows = [
+        *clean,
+        (None, text(10) + " " + item), (7, item),  # leaks beside clean rows of the same id
+        (3, near), (None, near + " end"), (9, near + " stop"),  # near copies: id 3 stays
+        (None, alike), (None, alike + " end"), (None, alike + " stop"),  # one of them stays
+        (5, shared), (5, shared + " end"),  # one of them stays
+        (6, "same row " + alike[:9]), (6, "same row " + alike[:9]),  # equal in id and text: one stays
+    ]
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame(rows, schema)
+    got = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_representatives(spark, docs).collect()]
+    for row in [*clean, rows[5], rows[6], (3, near), rows[15]]:
+        assert got.count(row) == (2 if row == (None, "") else 1), row
+    assert sum(i is None and t.startswith(alike) for i, t in got) == 1
+    assert sum(i == 5 for i, _ in got) == 1
+    assert len(got) == 11
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = [(r["doc_id"], r["text"]) for r in decontaminate.drop_leaks(spark, docs, bench).collect()]
+    assert sorted(left, key=str) == sorted((r for r in rows if item not in r[1]), key=str)
