@@ -66,8 +66,12 @@ def _effects(c: Corpus) -> DataFrame:
 
 
 query("x03_sign_flip", _EFFECTS + " SELECT avg(CASE WHEN abs(f.s) >= abs(o.s) - 1e-9 THEN 1.0 ELSE 0 END) AS p_two_sided, avg(CASE WHEN f.s >= o.s - 1e-9 THEN 1.0 ELSE 0 END) AS p_greater, count(*) AS patterns, any_value(o.m) AS mean FROM f, o")(lambda c: X.sign_flip_test(_effects(c), "x"))
+query(
+    "x03_sign_flip_regions",
+    ", e AS (SELECT n_regionkey AS k, avg(s_acctbal) / 1000 AS x FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1)" + _EFFECTS[_EFFECTS.index(", f AS") :] + " SELECT avg(CASE WHEN abs(f.s) >= abs(o.s) - 1e-9 THEN 1.0 ELSE 0 END) AS p_two_sided, avg(CASE WHEN f.s >= o.s - 1e-9 THEN 1.0 ELSE 0 END) AS p_greater, count(*) AS patterns, any_value(o.m) AS mean FROM f, o",
+)(lambda c: X.sign_flip_test(c.table("supplier").join(c.table("nation"), F.col("n_nationkey") == F.col("s_nationkey")).groupBy("n_regionkey").agg((F.avg("s_acctbal") / 1000).alias("x")), "x"))
 query("x05_mcnemar")(lambda c: X.mcnemar(_labelled(c).select((F.col("quality") == 1).alias("a"), (F.col("guess") == 1).alias("b")), "a", "b"))
-query("x01_cluster_bootstrap")(lambda c: X.cluster_bootstrap(_effects(c), "x", 2000))
+query("x01_cluster_bootstrap")(lambda c: X.cluster_bootstrap(c.table("supplier").join(c.table("nation"), F.col("n_nationkey") == F.col("s_nationkey")).groupBy("s_nationkey").agg((F.avg("s_acctbal") / 1000).alias("x")), "x"))
 query("x11_randomization")(lambda c: X.randomization_test(c.table("supplier").withColumn("arm", F.col("s_suppkey") % 2), "s_suppkey", "arm", "s_acctbal", 500))
 query("x15_power")(lambda c: X.power_simulation(c.spark, 6, 0.8, 500))
 query("y02_equivalence")(lambda c: X.equivalence_test(_effects(c), "x", 5.0))

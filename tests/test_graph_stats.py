@@ -79,3 +79,14 @@ def test_retrieval_edges(spark):
     assert r["recall"] == 0.5 and 0 < r["ndcg"] < 1 and r["off_topic"] == 0.5
     v = spark.createDataFrame([(1, "one two\nthree four five", 3)], "k long, t string, n int").select(R.cut_to_budget("t", "n").alias("x")).first()["x"]
     assert v == "one two\nthree"
+
+
+def test_whole_clusters_enter_the_statistics(spark, sf):
+    import __spark_entry__ as entry
+
+    read = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("supplier", "nation")}
+    held = read["supplier"].join(read["nation"], F.col("n_nationkey") == F.col("s_nationkey"))
+    got = entry.queries()["x01_cluster_bootstrap"](spark, sf).first()
+    assert got["clusters"] == held.select("s_nationkey").distinct().count()
+    got = entry.queries()["x03_sign_flip_regions"](spark, sf).first()
+    assert got["patterns"] == 2 ** held.select("n_regionkey").distinct().count()
