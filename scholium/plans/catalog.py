@@ -264,6 +264,7 @@ query("t09_cosine_top_k", ", q AS (SELECT embedding AS e FROM embeddings ORDER B
 )
 query("t08_term_overlap", "SELECT doc_id, CAST(contains(lower(text), 'licensed') AS INT) + CAST(contains(lower(text), 'rights') AS INT) + CAST(contains(lower(text), 'work') AS INT) AS overlap FROM documents WHERE overlap > 0 ORDER BY overlap DESC, doc_id LIMIT 100")(lambda c: R.overlap_retrieval(c.documents, "doc_id", "text", "licensed rights work", 100))
 query("f04_title_key", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9_\\s-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS title_key FROM documents")(lambda c: c.documents.select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.substring("text", 1, 80)), r"[^a-z0-9_\s-]+", " "), r"\s+", " ")).alias("title_key")))
+query("f04_title_key_whole", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\\s-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS title_key FROM documents")(lambda c: c.documents.select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^a-z0-9_\s-]+", " "), r"\s+", " ")).alias("title_key")))
 query("f05_stable_id", "SELECT doc_id, 'work:' || substr(sha1(doc_id || chr(31) || lower(source)), 1, 20) AS id FROM documents")(lambda c: c.documents.select("doc_id", T.stable_id("work", F.col("doc_id"), F.col("source")).alias("id")))
 query("f13_slug", "SELECT c_custkey, left(regexp_replace(regexp_replace(lower(c_name || ' / ' || c_mktsegment), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS slug FROM customer")(lambda c: c.table("customer").select("c_custkey", T.slug(F.concat("c_name", F.lit(" / "), "c_mktsegment")).alias("slug")))
 query("f21_wilson_upper", "SELECT lang, least(1.0, (p + 2.705543454095404 / (2 * n) + 1.6448536269514722 * sqrt(p * (1 - p) / n + 2.705543454095404 / (4 * n * n))) / (1 + 2.705543454095404 / n)) AS upper FROM (SELECT lang, count(*)::DOUBLE AS n, avg(toxic) AS p FROM documents JOIN labels USING (doc_id) GROUP BY lang)")(

@@ -90,3 +90,13 @@ def test_whole_clusters_enter_the_statistics(spark, sf):
     assert got["clusters"] == held.select("s_nationkey").distinct().count()
     got = entry.queries()["x03_sign_flip_regions"](spark, sf).first()
     assert got["patterns"] == 2 ** held.select("n_regionkey").distinct().count()
+
+
+def test_title_key_reads_the_whole_text(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    same = "the same beginning " * 5
+    rows = [(1, same + "One"), (2, same + "Two!"), (3, None)]
+    spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["title_key"] for r in entry.queries()["f04_title_key_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: same + "one", 2: same + "two", 3: None}
