@@ -7,7 +7,8 @@ everything but letters as one blank), so a machine's decision is a mean of weigh
 places and prediction is one gather per place.
 
 The machines are fitted on the driver on at most ``most_rows`` labelled rows: the same
-number for each language, first by a hash of the id. Prediction covers every row.
+number for each language and one at least, first by a hash of the id. That is the only
+limit: every value of ``lang`` is learned. Prediction covers every row.
 
 Defined cases: null text and texts without a letter give ``und`` with score 0; with no
 usable label everything is ``und``, with one language every text with a letter is that
@@ -124,10 +125,12 @@ class LanguageModel:
             sums = np.zeros((len(lengths), self.weights.shape[1]))
             filled = np.flatnonzero(lengths > 0)
             if len(filled) and self.weights.shape[1]:
-                weight = self.weights[places[:, 0]] + self.weights[places[:, 1]] + self.weights[places[:, 2]]
                 # Separators lie between texts: each text's stretch ends before its own.
                 edges = np.stack([starts[filled], starts[filled] + lengths[filled]], 1).ravel()
-                sums[filled] = np.add.reduceat(np.concatenate([weight, np.zeros((1, weight.shape[1]), weight.dtype)]), edges)[::2]
+                for c in range(0, self.weights.shape[1], 16):  # many languages have many machines
+                    some = np.ascontiguousarray(self.weights[:, c : c + 16])
+                    weight = some[places[:, 0]] + some[places[:, 1]] + some[places[:, 2]]
+                    sums[filled, c : c + 16] = np.add.reduceat(np.concatenate([weight, np.zeros((1, weight.shape[1]), weight.dtype)]), edges)[::2]
             margins = (sums / np.maximum(lengths, 1)[:, None] + self.biases) * self.slopes
             chance = 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
             for k, n in enumerate(letters.tolist()):
@@ -189,11 +192,11 @@ def fit_languages(texts: list[str], langs: list[str]) -> LanguageModel:
 
 
 def training_sample(docs: DataFrame, most_rows: int, most_chars: int) -> tuple[list[str], list[str]]:
-    """At most ``most_rows`` whole labelled texts of at most ``most_chars``, as many of each language, by a hash of the id."""
+    """At most ``most_rows`` whole labelled texts of at most ``most_chars``, as many of each language (one at least), by a hash of the id."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars) & ~held_out(F.col("doc_id"), 4, 2))
     usable = usable.select("doc_id", "lang", F.xxhash64(F.col("doc_id"), F.lit(11)).alias("order"))
-    langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
-    each = most_rows // max(1, len(langs))
+    langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    each = max(1, most_rows // max(1, len(langs)))
     ranked = lowest_hashes(usable, "lang", "order", each, {r["lang"]: r["count"] for r in langs}).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).filter(F.col("rank") <= each)
     chosen = ranked.select(F.col("doc_id").alias("id"), F.col("lang").alias("of"))
     rows = docs.join(F.broadcast(chosen), (docs["doc_id"] == chosen["id"]) & (docs["lang"] == chosen["of"])).select("doc_id", "text", "lang").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()

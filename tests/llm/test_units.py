@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from scholium.llm import decontaminate, html_text, jaccard_join, packing, warc
+from scholium.llm import decontaminate, html_text, jaccard_join, language, packing, warc
 from scholium.llm.exact_dedup import CuckooIndex
 from scholium.llm.quality import features, fit_quality
 from scholium.llm.tokens import encoder, vocabulary_path
@@ -190,3 +190,11 @@ def test_pipeline_decides_by_row(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     left = [(r["doc_id"], r["text"]) for r in decontaminate.drop_leaks(spark, docs, bench).collect()]
     assert sorted(left, key=str) == sorted((r for r in rows if item not in r[1]), key=str)
+
+
+def test_every_language_is_learned(spark):
+    names = [f"l{k}" for k in range(70)]
+    rows = [(100 * k + j, f"text of {n}", n) for k, n in enumerate(names) for j in range(8 if k < 64 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language.training_sample(docs, 210, 1000)[1]) == set(names)
+    assert set(language.training_sample(docs, 10, 1000)[1]) == set(names)
