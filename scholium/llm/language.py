@@ -30,6 +30,8 @@ from scholium.llm.tokens import LETTER, WIDE, _classes, mix
 from scholium.llm.words import chunks
 
 BITS = 13
+#: Two decisions at chance (family, then language) score 0.25; the lowest score of a row of check_s or check_l was 0.323.
+LEAST_SCORE = 0.3
 UNKNOWN = "und"
 # Families of common language codes; a language not listed is a family of its own.
 FAMILIES = {
@@ -220,9 +222,15 @@ def identify(spark: SparkSession, docs: DataFrame, most_rows: int = 2000, most_c
     return given_back(rows.mapInPandas(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double"), "doc_id")
 
 
-def keep_identified(spark: SparkSession, docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language is predicted with a score of at least ``least``; ``und`` goes."""
+def keep_identified(spark: SparkSession, docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is predicted with a score of at least ``least``; ``und`` goes.
+
+    Where no language could be learned, all rows stay. The score tells uncertain decisions, not junk: letter
+    junk can lie near one language, and a single decision (one family, or a family a language) scores 0.5 at least.
+    """
     model = fit_languages(*training_sample(docs, 2000, 50_000))
+    if not model.top.labels:
+        return docs
 
     @F.pandas_udf("boolean")
     def identified(text: pd.Series) -> pd.Series:

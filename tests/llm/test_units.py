@@ -6,6 +6,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from scholium.llm import decontaminate, html_text, jaccard_join, language, packing, warc
 from scholium.llm.exact_dedup import CuckooIndex
 from scholium.llm.quality import features, fit_quality
@@ -198,3 +200,19 @@ def test_every_language_is_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert set(language.training_sample(docs, 210, 1000)[1]) == set(names)
     assert set(language.training_sample(docs, 10, 1000)[1]) == set(names)
+
+
+def test_uncertain_languages_go_and_unlabelled_corpora_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert language.keep_identified(spark, docs).count() == docs.count()  # clean documents stay
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language.keep_identified(spark, bare).count() == docs.count()
+    model = language.fit_languages(*language.training_sample(docs, 2000, 50_000))
+    rng = random.Random(2)
+    junk = ["".join(rng.choice("qxzjkvwyñéß ") for _ in range(60)) for _ in range(3000)]
+    score = model.decide(junk, language.Grams())[1]
+    sure, unsure = [t for t, s in zip(junk, score) if s >= 0.3], [t for t, s in zip(junk, score) if s < 0.3]
+    assert sure and unsure
+    rows = spark.createDataFrame([(10**9 + k, t) for k, t in enumerate(unsure + sure)], "doc_id long, text string")
+    both = docs.select("doc_id", "text", "lang").unionByName(rows, allowMissingColumns=True)
+    assert language.keep_identified(spark, both).count() == docs.count() + len(sure)
