@@ -4,8 +4,8 @@ The standard library's streaming parser turns a page into lines, one per block e
 each with its text, its number of tags and its place in the element tree. The text-to-tag
 ratio of the lines is smoothed with a Gaussian, lines at or above the threshold (the
 standard deviation of the smoothed ratios) form content clusters, and the cluster mass
-selects the content region: the ``article`` or ``main`` element, else the deepest element,
-that holds it. All lines of that region are the main text, so short paragraphs next to long
+selects the content region: all top-level ``article`` and ``main`` elements with visible
+text, in page order, else the deepest element that holds it. All lines of that region are the main text, so short paragraphs next to long
 ones stay, without what the page marks as menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles or comments by its elements, classes, ids or roles.
 
@@ -178,22 +178,17 @@ def content_lines(html: str) -> list[Line]:
     if not shown:
         return []
     cluster = [k for k in shown if dense[k]] or shown
-    mass: dict[int, int] = {}
-    for k in shown:
-        if lines[k].region:
-            mass[lines[k].region] = mass.get(lines[k].region, 0) + len(lines[k].text) * (2 if dense[k] else 1)
-    if mass:
-        region = max(mass, key=lambda n: (mass[n], -n))
-    else:
-        total = sum(len(lines[k].text) for k in cluster)
-        held: dict[int, int] = {}
-        for k in cluster:
-            for n in lines[k].path:
-                held[n] = held.get(n, 0) + len(lines[k].text)
-        region = max((n for n, c in held.items() if 10 * c >= 9 * total), key=lambda n: max(x.path.index(n) for x in lines if n in x.path))
-        if parser.names[region] in CLOSES_P - {"div", "section"}:  # a block alone is no region
-            path = next(x.path for x in lines if region in x.path)
-            region = path[max(0, path.index(region) - 1)]
+    if any(lines[k].region for k in shown):
+        return [lines[k] for k in shown if lines[k].region]
+    total = sum(len(lines[k].text) for k in cluster)
+    held: dict[int, int] = {}
+    for k in cluster:
+        for n in lines[k].path:
+            held[n] = held.get(n, 0) + len(lines[k].text)
+    region = max((n for n, c in held.items() if 10 * c >= 9 * total), key=lambda n: max(x.path.index(n) for x in lines if n in x.path))
+    if parser.names[region] in CLOSES_P - {"div", "section"}:  # a block alone is no region
+        path = next(x.path for x in lines if region in x.path)
+        region = path[max(0, path.index(region) - 1)]
     return [lines[k] for k in shown if region in lines[k].path]
 
 

@@ -216,3 +216,11 @@ def test_uncertain_languages_go_and_unlabelled_corpora_stay(spark, sf):
     rows = spark.createDataFrame([(10**9 + k, t) for k, t in enumerate(unsure + sure)], "doc_id long, text string")
     both = docs.select("doc_id", "text", "lang").unionByName(rows, allowMissingColumns=True)
     assert language.keep_identified(spark, both).count() == docs.count() + len(sure)
+
+
+def test_all_articles_of_a_page_are_its_text():
+    one, two, three = ("The first part is told here at some length. " * 3).strip(), "A short second part.", ("And more of it follows in the third. " * 5).strip()
+    page = f"<body><nav>Home</nav><article><p>{one}</p></article><article><p>{two}</p></article><p>outside</p><article><p>{three}</p></article><footer>end</footer></body>"
+    assert html_text.main_text(page) == "\n\n".join([one, two, three])
+    page = f"<body><nav>Home</nav><main><p>{two}</p><article><p>{one}</p></article><aside>see also</aside><p>{three}</p></main></body>"
+    assert html_text.main_text(page) == "\n\n".join([two, one, three])
