@@ -117,7 +117,7 @@ query("n03_section_entropy", ", s AS (SELECT lang, source, sum(n_chars) AS n FRO
 # ---- graph algorithms ----
 
 
-def _net(c: Corpus, pool: int = 60) -> DataFrame:
+def _net(c: Corpus, pool: int = 500) -> DataFrame:
     return N.cooccurrence(c.memberships, "work_id", "item", pool).filter("weight >= 2")
 
 
@@ -133,7 +133,7 @@ query("g16_spanning_forest")(lambda c: G.spanning_forest(_net(c).withColumn("gra
 query("g27_adjusted_rand", ", l AS (SELECT s_nationkey % 5 AS a, s_suppkey % 3 AS b FROM supplier), c AS (SELECT a, b, count(*) AS n FROM l GROUP BY ALL), x AS (SELECT sum(n * (n - 1) / 2.0) AS x FROM (SELECT sum(n) AS n FROM c GROUP BY a)), y AS (SELECT sum(n * (n - 1) / 2.0) AS y FROM (SELECT sum(n) AS n FROM c GROUP BY b)), z AS (SELECT sum(n * (n - 1) / 2.0) AS z, sum(n) * (sum(n) - 1) / 2.0 AS t FROM c) SELECT (z - x * y / t) / ((x + y) / 2 - x * y / t) AS ari FROM x, y, z")(
     lambda c: G.adjusted_rand(c.table("supplier").select((F.col("s_nationkey") % 5).alias("a"), (F.col("s_suppkey") % 3).alias("b")), "a", "b")
 )
-query("r09_programs")(lambda c: P.run_programs(_net(c).withColumn("graph", F.lit("items")), N.candidates(c.memberships, "work_id", "item", 60).select(F.lit("items").alias("graph"), F.col("item").alias("node"), "occurrences"), "graph"))
+query("r09_programs")(lambda c: P.run_programs(_net(c).withColumn("graph", F.lit("items")), N.candidates(c.memberships, "work_id", "item", 500).select(F.lit("items").alias("graph"), F.col("item").alias("node"), "occurrences"), "graph"))
 query("r07_temporal_shift", f", t AS (SELECT keyword, year, count(DISTINCT work_id) AS works FROM keywords JOIN works USING (work_id) WHERE keyword IN {_TOP15} GROUP BY ALL), y AS (SELECT min(year) AS y0, max(year) AS y1 FROM t) SELECT keyword, CAST(sum(CASE WHEN year < y0 + 3 THEN works ELSE 0 END) AS BIGINT) AS early, CAST(sum(CASE WHEN year > y1 - 3 THEN works ELSE 0 END) AS BIGINT) AS recent, (recent + 1) / (early + 1) AS growth FROM t, y GROUP BY keyword")(
     lambda c: P.temporal_shift(A.term_trend(c.works, c.keywords, "keyword"), "keyword")
 )

@@ -100,3 +100,12 @@ def test_title_key_reads_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["title_key"] for r in entry.queries()["f04_title_key_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: same + "one", 2: same + "two", 3: None}
+
+
+def test_graph_queries_use_the_references_pool(spark, sf):
+    import __spark_entry__ as entry
+
+    from scholium.plans.corpus import Corpus
+
+    items = N.candidates(Corpus(spark, sf).memberships, "work_id", "item", 500).count()
+    assert 60 < entry.queries()["g12_communities"](spark, sf).count() <= items
