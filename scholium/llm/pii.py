@@ -1,15 +1,25 @@
 """Operator 1 [native]: personal data by patterns, checksums and context words.
 
-Only DataFrame functions: patterns propose spans, Luhn (cards) and mod-97 (IBANs) confirm
-them, and context words near a span move its score. The base kinds (email, ip, card,
-phone) always stay; further kinds (iban) stay from ``threshold`` on.
-
-A span's place comes from the text between matches: ``split`` by the pattern gives the
-gaps, and gaps and matches add up to positions in code points. Patterns are written
-without repeated groups, which Java matches by recursion: single separators inside a
-number, or dots inside a domain, are first replaced one for one by a marker character, and
-the chain becomes a run of one character class. Look-behinds and ``\\G`` keep long runs from
-being tried again at every start.
+Only DataFrame functions: patterns propose spans, validators confirm them (Luhn for cards and
+device numbers, mod-97 and the country's length for IBANs, number ranges for addresses and
+social security numbers), and words near a span move its score: a kind's context words raise
+it, words such as "example" lower it. The base kinds (email, ip, card, phone) always stay,
+whatever their score. Further kinds stay from ``threshold`` on, so context decides them:
+
+* ``iban``: kept by its checksum alone, dropped beside "example" without a word of context;
+* ``ssn``, ``imei`` and ``secret`` (a run of 20 or more letters and digits): kept only beside
+  a word of context.
+
+A span's place comes from the text between matches: ``split`` by the pattern gives the gaps,
+and gaps and matches add up to positions in code points, block by block, so that a text costs
+in proportion to its length and matches. Context is read from the ``reach`` characters of the
+gap on either side. Values used more than once are bound by :func:`let`, since an expression
+named inside a lambda would be evaluated again for every element.
+
+Java matches unbounded repeated groups by recursion, so the patterns have none: single
+separators inside a number, or dots inside a domain, are first replaced one for one by a
+marker character, and the chain becomes a run of one character class. Look-behinds and
+``\\G`` keep long runs from being tried again at every start.
 
 Defined cases: null and empty text give zero counts, empty strings and the SHA-256 of the
 empty string; null or repeated ids are carried as they are; an empty table gives an empty
@@ -18,69 +28,131 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = chr(0xE000)
-# The patterns of the base kinds, rewritten as described above.
+BASE = ("email", "ip", "card", "phone")
+MORE = ("iban", "ssn", "imei", "secret")
+# Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    15: ("NO",),
+    16: ("BE",),
+    18: ("DK", "FK", "FO", "FI", "GL", "NL", "SD"),
+    19: ("MK", "SI"),
+    20: ("AT", "BA", "EE", "KZ", "LT", "LU", "MN", "XK"),
+    21: ("CH", "HR", "LI", "LV"),
+    22: ("BG", "BH", "CR", "DE", "GB", "GE", "IE", "ME", "RS", "VA"),
+    23: ("AE", "GI", "IL", "IQ", "OM", "SO", "TL"),
+    24: ("AD", "CZ", "ES", "MD", "PK", "RO", "SA", "SE", "SK", "TN", "VG"),
+    25: ("LY", "PT", "ST"),
+    26: ("IS", "TR"),
+    27: ("BI", "DJ", "FR", "GR", "IT", "MC", "MR", "SM"),
+    28: ("AL", "AZ", "BY", "CY", "DO", "GT", "HU", "LB", "NI", "PL", "SV"),
+    29: ("BR", "EG", "PS", "QA", "UA"),
+    30: ("JO", "KW", "MU", "YE"),
+    31: ("MT", "SC"),
+    32: ("LC",),
+    33: ("RU",),
+}
+IBAN_BODY = "|".join(f"(?:{'|'.join(codes)})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+# The patterns; those of the base kinds are rewritten as described above.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+MARK-]))[A-Za-z0-9._%+MARK-]++@[A-Za-z0-9-]++MARK[A-Za-z0-9MARK-]++".replace("MARK", MARK)
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = "[0-9MARK]{16,}+".replace("MARK", MARK)
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9_])"
+IBAN = f"(?<![A-Za-z0-9_])(?:{IBAN_BODY})(?![A-Za-z0-9_])"
+SSN = r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])"
+IMEI = r"(?<![A-Za-z0-9_])[0-9]{15}(?![A-Za-z0-9_])"
+SECRET = r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}+"
 IP_PARTS = "^0*(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])([.]0*(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])){3}$"
+SSN_PARTS = "^(00[1-9]|0[1-9][0-9]|[1-578][0-9][0-9]|6[0-57-9][0-9]|66[0-57-9])-(0[1-9]|[1-9][0-9])-(000[1-9]|00[1-9][0-9]|0[1-9][0-9][0-9]|[1-9][0-9][0-9][0-9])$"
+SECRET_PARTS = "[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"
 CONTEXT = {
     "email": "e-?mail|contact|@",
     "ip": "ip|server|host|address",
     "card": "card|visa|credit|karte|tarjeta|carte",
     "phone": "phone|tel|call|mobile|fax",
     "iban": "iban|bank|account|konto|cuenta|compte",
+    "ssn": "ssn|social security|taxpayer",
+    "imei": "imei|device|handset",
+    "secret": "token|secret|passw|api.?key|credential",
 }
-PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.7}
-BASE = ("email", "ip", "card", "phone")
-SPAN = "array<struct<kind:string,start:int,end:int,match:string>>"
+UNREAL = "example|sample|dummy|placeholder|fictitious"
+PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.7, "ssn": 0.4, "imei": 0.4, "secret": 0.4}
+RAISE, LOWER = 0.2, 0.3
+SPAN = "array<struct<kind:string,start:int,end:int,match:string,near:string>>"
+BLOCK = 256
+
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def luhn(digits: Column) -> Column:
+
+def luhn(number: Column) -> Column:
     """Luhn's check of a string of digits."""
-    n = F.length(digits)
 
-    def step(total: Column, i: Column) -> Column:
-        d = F.substring(digits, i, F.lit(1)).cast("int")
-        twice = F.when(d > 4, d * 2 - 9).otherwise(d * 2)
-        return total + F.when((n - i) % 2 == 1, twice).otherwise(d)
+    def check(digits: Column) -> Column:
+        n = F.length(digits)
+
+        def step(total: Column, i: Column) -> Column:
+            d = F.substring(digits, i, F.lit(1)).cast("int")
+            twice = F.when(d > 4, d * 2 - 9).otherwise(d * 2)
+            return total + F.when((n - i) % 2 == 1, twice).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), step) % 10 == 0
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), step) % 10 == 0
+
+    return let(number, check)
 
 
 def mod97(code: Column) -> Column:
     """ISO 7064 mod 97-10 of an IBAN without spaces: 1 when valid."""
-    turned = F.concat(F.substring(code, 5, 100), F.substring(code, 1, 4))
 
-    def step(rest: Column, i: Column) -> Column:
-        c = F.ascii(F.substring(turned, i, F.lit(1)))
-        return F.when(c >= 65, (rest * 100 + c - 55) % 97).otherwise((rest * 10 + c - 48) % 97)
+    def check(turned: Column) -> Column:
+        def step(rest: Column, i: Column) -> Column:
+            c = F.ascii(F.substring(turned, i, F.lit(1)))
+            return F.when(c >= 65, (rest * 100 + c - 55) % 97).otherwise((rest * 10 + c - 48) % 97)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step)
+        return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step)
 
+    return let(F.concat(F.substring(code, 5, 100), F.substring(code, 1, 4)), check)
 
-def found(kind: str, text: Column, pattern: str) -> Column:
-    """All matches of ``pattern`` as spans of ``kind``."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+def found(kind: str, text: Column, pattern: str, reach: int) -> Column:
+    """All matches of ``pattern`` as spans of ``kind``, with the text near each."""
     none = F.array().cast(SPAN)
+    empty = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(hits, i))
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.get(hits, i).alias("match"))
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["skip"]
+        end = start + F.length(x["match"])
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["match"].alias("match"), x["near"].alias("near"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    walk = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(hits) > 0, walk).otherwise(none)
+    def moved(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["match"].alias("match"), s["near"].alias("near")))
+
+    def joined(acc: Column, block: Column) -> Column:
+        part = F.struct(acc["at"].alias("by"), block["out"].alias("spans"))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(part)).alias("out"))
+
+    def placed(gaps: Column, hits: Column) -> Column:
+        n = F.size(hits)
+        before = F.zip_with(F.slice(gaps, F.lit(1), n), hits, lambda g, h: F.struct(F.length(g).alias("skip"), F.right(g, F.lit(reach)).alias("left"), h.alias("match")))
+        rows = F.zip_with(before, F.slice(gaps, F.lit(2), n), lambda x, g: F.struct(x["skip"].alias("skip"), x["match"].alias("match"), F.concat(x["left"], F.lit(" "), F.left(g, F.lit(reach))).alias("near")))
+        blocks = let(rows, lambda z: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(z, b * BLOCK + 1, F.lit(BLOCK)), empty, step)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<by:int,spans:{SPAN}>>").alias("out"))
+        return F.aggregate(blocks, start, joined, lambda acc: F.flatten(F.transform(acc["out"], lambda p: moved(p["spans"], p["by"]))))
+
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(hits, lambda h: F.when(F.size(h) > 0, let(gaps, lambda g: placed(g, h))).otherwise(none))
 
 
-def span_column(text: Column) -> Column:
-    """Confirmed spans of all kinds, by kind and then by start."""
+def span_column(text: Column, reach: int) -> Column:
+    """Confirmed spans of all kinds, by kind and then by start. ``text`` is a column, not an expression: it is named often."""
     none = F.array().cast(SPAN)
     plain = F.translate(text, MARK, "\n")  # in no pattern
     dotted = F.regexp_replace(plain, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", MARK)
@@ -89,32 +161,39 @@ def span_column(text: Column) -> Column:
     def digits(s: Column) -> Column:
         return F.regexp_replace(s["match"], "[^0-9]", "")
 
-    email = F.when(F.contains(text, F.lit("@")), found("email", dotted, EMAIL)).otherwise(none)
-    ip = F.when(text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), F.filter(found("ip", text, IP), lambda s: s["match"].rlike(IP_PARTS))).otherwise(none)
-    card = F.filter(found("card", joined, CARD), lambda s: F.length(digits(s)).between(16, 19) & luhn(digits(s)))
-    card = F.when(text.rlike("[0-9][0-9 -]{14}"), card).otherwise(none)
-    phone = F.filter(found("phone", text, PHONE), lambda s: F.length(digits(s)).between(8, 15))
-    phone = F.when(F.contains(text, F.lit("+")), phone).otherwise(none)
-    iban = F.filter(found("iban", text, IBAN), lambda s: mod97(F.replace(s["match"], F.lit(" "), F.lit(""))) == 1)
-    iban = F.when(text.rlike("[A-Z]{2}[0-9]{2}"), iban).otherwise(none)
-    return F.concat(email, ip, card, phone, iban)
-
-
-def scored(text: Column, span: Column, reach: int) -> Column:
-    """The span with its score: the kind's prior, raised by 0.2 where context words are near."""
-    before = F.greatest(span["start"] - reach, F.lit(0))
-    near = F.lower(F.concat(F.substring(text, before + 1, span["start"] - before), F.lit(" "), F.substring(text, span["end"] + 1, F.lit(reach))))
-    score = F.lit(0.0)
+    def spans(kind: str, where: Column, pattern: str, gate: Column, valid: Callable[[Column], Column] | None = None) -> Column:
+        """Spans of texts that pass ``gate``, a cheap test that every text with a span passes."""
+        all_of = found(kind, where, pattern, reach)
+        return F.when(gate, F.filter(all_of, valid) if valid else all_of).otherwise(none)
+
+    def named(kind: str) -> Column:
+        return text.rlike(f"(?i){CONTEXT[kind]}")
+
+    return F.concat(
+        spans("email", dotted, EMAIL, F.contains(text, F.lit("@"))),
+        spans("ip", text, IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), lambda s: s["match"].rlike(IP_PARTS)),
+        spans("card", joined, CARD, text.rlike("[0-9][0-9 -]{14}"), lambda s: F.length(digits(s)).between(16, 19) & luhn(digits(s))),
+        spans("phone", text, PHONE, F.contains(text, F.lit("+")), lambda s: F.length(digits(s)).between(8, 15)),
+        spans("iban", text, IBAN, text.rlike("[A-Z]{2}[0-9]{2}"), lambda s: mod97(F.replace(s["match"], F.lit(" "), F.lit(""))) == 1),
+        spans("ssn", text, SSN, named("ssn") & text.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda s: s["match"].rlike(SSN_PARTS)),
+        spans("imei", text, IMEI, named("imei") & text.rlike("[0-9]{15}"), lambda s: luhn(s["match"])),
+        spans("secret", text, SECRET, named("secret"), lambda s: s["match"].rlike(SECRET_PARTS)),
+    )
+
+
+def score(span: Column) -> Column:
+    """The kind's prior, raised where words of its context are near and lowered where the span is said to be unreal; 0 to 1."""
+    near, out = F.lower(span["near"]), F.lit(0.0)
     for kind, prior in PRIOR.items():
-        score = F.when(span["kind"] == kind, F.lit(prior) + F.when(near.rlike(CONTEXT[kind]), 0.2).otherwise(0.0)).otherwise(score)
-    return F.struct(span["kind"].alias("kind"), span["start"].alias("start"), span["end"].alias("end"), score.alias("score"))
+        out = F.when(span["kind"] == kind, F.lit(prior) + F.when(near.rlike(CONTEXT[kind]), RAISE).otherwise(0.0)).otherwise(out)
+    return F.round(out - F.when(near.rlike(UNREAL), LOWER).otherwise(0.0), 1)
 
 
 def find_pii(docs: DataFrame, reach: int = 32, threshold: float = 0.5) -> DataFrame:
     """doc_id and ``found``: array of (kind, start, end, score), start and end in code points, end exclusive."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), text.alias("body")).withColumn("raw", span_column(F.col("body")))
-    rows = rows.withColumn("found", F.transform("raw", lambda s: scored(F.col("body"), s, reach)))
+    rows = docs.select(F.col("doc_id"), text.alias("body")).withColumn("raw", span_column(F.col("body"), reach))
+    rows = rows.withColumn("found", F.transform("raw", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score(s).alias("score"))))
     keep = F.filter("found", lambda s: s["kind"].isin(*BASE) | (s["score"] >= threshold))
     return rows.select("doc_id", keep.alias("found"))
 
@@ -128,10 +207,11 @@ def digest(found_rows: DataFrame) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(k) for k in (*BASE, "iban")]
+    counts = [count(k) for k in (*BASE, *MORE)]
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
     scores = F.array_join(F.transform("found", lambda s: F.format_string("%.1f", s["score"])), ",")
-    return found_rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), scores.alias("scores"))
+    total = F.size("found").cast("long").alias("n_spans")
+    return found_rows.select("doc_id", *counts, total, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), scores.alias("scores"))
 
 
 def _sql() -> str:
@@ -141,30 +221,40 @@ def _sql() -> str:
         "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-        "iban": r"\b[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}\b",
+        "iban": rf"\b(?:{IBAN_BODY})\b",
+        "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+        "imei": r"\b[0-9]{15}\b",
+        "secret": r"[A-Za-z0-9_]{20,}",
     }  # fixed values
     digits = "regexp_replace(match, '[^0-9]', '', 'g')"
+    luhn_of = f"list_aggregate(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN (length({digits}) - i) % 2 = 1 THEN (2 * substr({digits}, i, 1)::INT) // 10 + (2 * substr({digits}, i, 1)::INT) % 10 ELSE substr({digits}, i, 1)::INT END), 'sum') % 10 = 0"
+    area = "substr(match, 1, 3)"
     valid = {
         "email": "true",
         "ip": "list_aggregate(list_transform(string_split(match, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(ltrim(x, '0') AS INTEGER), 0) <= 255 THEN 0 ELSE 1 END), 'sum') = 0",
-        "card": f"length({digits}) BETWEEN 16 AND 19 AND list_aggregate(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN (length({digits}) - i) % 2 = 1 THEN (2 * substr({digits}, i, 1)::INT) // 10 + (2 * substr({digits}, i, 1)::INT) % 10 ELSE substr({digits}, i, 1)::INT END), 'sum') % 10 = 0",
+        "card": f"length({digits}) BETWEEN 16 AND 19 AND {luhn_of}",
         "phone": f"length({digits}) BETWEEN 8 AND 15",
         "iban": "list_reduce(list_transform(string_split(substr(replace(match, ' ', ''), 5) || substr(replace(match, ' ', ''), 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97, 0) = 1",
+        "ssn": f"{area} NOT IN ('000', '666') AND {area} < '900' AND substr(match, 5, 2) <> '00' AND substr(match, 8, 4) <> '0000'",
+        "imei": luhn_of,
+        "secret": "regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Za-z]')",
     }
     parts = []
     for n, (kind, p) in enumerate(patterns.items()):
         parts.append(f"""
-SELECT doc_id, body, {n} AS rank, '{kind}' AS kind, match, end_ - length(match) AS start, end_ AS stop, {PRIOR[kind]} AS prior, '{CONTEXT[kind]}' AS words FROM (
-  SELECT *, hits[i] AS match, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(hits[1:i], lambda h: length(h))) AS BIGINT) AS end_
-  FROM (SELECT rid, doc_id, body, regexp_extract_all(body, '{p}') AS hits, string_split_regex(body, '{p}') AS gaps, unnest(range(1, 1 + len(regexp_extract_all(body, '{p}')))) AS i FROM d))
-WHERE {valid[kind]}""".replace("SELECT doc_id, body, ", "SELECT rid, doc_id, body, ", 1))
-    counts = ", ".join(f"CAST(coalesce(c.n_{k}, 0) AS BIGINT) AS n_{k}" for k in patterns)
+SELECT rid, doc_id, {n} AS rank, '{kind}' AS kind, match, end_ - length(match) AS start, end_ AS stop, {PRIOR[kind]} AS prior, '{CONTEXT[kind]}' AS words, near FROM (
+  SELECT rid, doc_id, hits[i] AS match, right(gaps[i], 32) || ' ' || left(gaps[i + 1], 32) AS near,
+         CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(hits[1:i], lambda h: length(h))) AS BIGINT) AS end_
+  FROM (SELECT rid, doc_id, regexp_extract_all(body, '{p}') AS hits, string_split_regex(body, '{p}') AS gaps, unnest(range(1, 1 + len(regexp_extract_all(body, '{p}')))) AS i FROM d))
+WHERE {valid[kind]}""")
+    counts = ", ".join(f"CAST(coalesce(c.n_{k}, 0) AS BIGINT) AS n_{k}" for k in (*patterns, "spans"))
     sums = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in patterns)
+    moved = f"CASE WHEN regexp_matches(lower(near), words) THEN {RAISE} ELSE 0.0 END - CASE WHEN regexp_matches(lower(near), '{UNREAL}') THEN {LOWER} ELSE 0.0 END"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
 f AS ({' UNION ALL '.join(parts)}),
-s AS (SELECT *, prior + CASE WHEN regexp_matches(lower(substr(body, 1 + greatest(start - 32, 0), start - greatest(start - 32, 0)) || ' ' || substr(body, stop + 1, 32)), words) THEN 0.2 ELSE 0.0 END AS score FROM f),
-c AS (SELECT rid, {sums}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY rank, start) FILTER (WHERE rank < 4) AS base,
+s AS (SELECT * FROM (SELECT *, prior + {moved} AS score FROM f) WHERE rank < 4 OR score >= 0.5),
+c AS (SELECT rid, {sums}, count(*) AS n_spans, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY rank, start) FILTER (WHERE rank < 4) AS base,
       string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY rank, start) AS spans, string_agg(printf('%.1f', score), ',' ORDER BY rank, start) AS scores FROM s GROUP BY rid)
 SELECT d.doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM d LEFT JOIN c USING (rid)"""
