@@ -28,8 +28,6 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,115 +85,82 @@ SPAN = "array<struct<kind:string,start:int,end:int,match:string,near:string>>"
 BLOCK = 256
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to a value that is evaluated once, however often the body names it."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def luhn(number: Column) -> Column:
+def luhn(number: str) -> str:
     """Luhn's check of a string of digits."""
-
-    def check(digits: Column) -> Column:
-        n = F.length(digits)
-
-        def step(total: Column, i: Column) -> Column:
-            d = F.substring(digits, i, F.lit(1)).cast("int")
-            twice = F.when(d > 4, d * 2 - 9).otherwise(d * 2)
-            return total + F.when((n - i) % 2 == 1, twice).otherwise(d)
-
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), step) % 10 == 0
-
-    return let(number, check)
+    digit = "CAST(substring(digits, i, 1) AS INT)"
+    twice = f"CASE WHEN (length(digits) - i) % 2 = 0 THEN {digit} WHEN {digit} > 4 THEN 2 * {digit} - 9 ELSE 2 * {digit} END"
+    return let(number, "digits", f"aggregate(sequence(1, greatest(length(digits), 1)), 0, (total, i) -> total + {twice}) % 10 = 0")
 
 
-def mod97(code: Column) -> Column:
+def mod97(code: str) -> str:
     """ISO 7064 mod 97-10 of an IBAN without spaces: 1 when valid."""
+    c = "ascii(substring(turned, i, 1))"
+    step = f"CASE WHEN {c} >= 65 THEN (rest * 100 + {c} - 55) % 97 ELSE (rest * 10 + {c} - 48) % 97 END"
+    return let(let(code, "code", "concat(substring(code, 5), substring(code, 1, 4))"), "turned", f"aggregate(sequence(1, length(turned)), 0, (rest, i) -> {step})")
 
-    def check(turned: Column) -> Column:
-        def step(rest: Column, i: Column) -> Column:
-            c = F.ascii(F.substring(turned, i, F.lit(1)))
-            return F.when(c >= 65, (rest * 100 + c - 55) % 97).otherwise((rest * 10 + c - 48) % 97)
 
-        return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step)
-
-    return let(F.concat(F.substring(code, 5, 100), F.substring(code, 1, 4)), check)
-
-
-def found(kind: str, text: Column, pattern: str, reach: int) -> Column:
+def found(kind: str, text: str, pattern: str, reach: int) -> str:
     """All matches of ``pattern`` as spans of ``kind``, with the text near each."""
-    none = F.array().cast(SPAN)
-    empty = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["skip"]
-        end = start + F.length(x["match"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["match"].alias("match"), x["near"].alias("near"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    def moved(spans: Column, by: Column) -> Column:
-        return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["match"].alias("match"), s["near"].alias("near")))
-
-    def joined(acc: Column, block: Column) -> Column:
-        part = F.struct(acc["at"].alias("by"), block["out"].alias("spans"))
-        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(part)).alias("out"))
-
-    def placed(gaps: Column, hits: Column) -> Column:
-        n = F.size(hits)
-        before = F.zip_with(F.slice(gaps, F.lit(1), n), hits, lambda g, h: F.struct(F.length(g).alias("skip"), F.right(g, F.lit(reach)).alias("left"), h.alias("match")))
-        rows = F.zip_with(before, F.slice(gaps, F.lit(2), n), lambda x, g: F.struct(x["skip"].alias("skip"), x["match"].alias("match"), F.concat(x["left"], F.lit(" "), F.left(g, F.lit(reach))).alias("near")))
-        blocks = let(rows, lambda z: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(z, b * BLOCK + 1, F.lit(BLOCK)), empty, step)))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<by:int,spans:{SPAN}>>").alias("out"))
-        return F.aggregate(blocks, start, joined, lambda acc: F.flatten(F.transform(acc["out"], lambda p: moved(p["spans"], p["by"]))))
-
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(hits, lambda h: F.when(F.size(h) > 0, let(gaps, lambda g: placed(g, h))).otherwise(none))
-
-
-def span_column(text: Column, reach: int) -> Column:
-    """Confirmed spans of all kinds, by kind and then by start. ``text`` is a column, not an expression: it is named often."""
-    none = F.array().cast(SPAN)
-    plain = F.translate(text, MARK, "\n")  # in no pattern
-    dotted = F.regexp_replace(plain, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", MARK)
-    joined = F.regexp_replace(plain, "(?<=[0-9])[ -](?=[0-9])", MARK)
-
-    def digits(s: Column) -> Column:
-        return F.regexp_replace(s["match"], "[^0-9]", "")
-
-    def spans(kind: str, where: Column, pattern: str, gate: Column, valid: Callable[[Column], Column] | None = None) -> Column:
+    span = "named_struct('kind', '{}', 'start', {}, 'end', {}, 'match', {x}.match, 'near', {x}.near)"
+    left = f"zip_with(slice(gaps, 1, size(hits)), hits, (gap, hit) -> named_struct('skip', length(gap), 'left', right(gap, {reach}), 'match', hit))"
+    rows = f"zip_with({left}, slice(gaps, 2, size(hits)), (x, gap) -> named_struct('skip', x.skip, 'match', x.match, 'near', concat(x.left, ' ', left(gap, {reach}))))"
+    end = "acc.at + x.skip + length(x.match)"
+    step = f"named_struct('at', {end}, 'out', concat(acc.out, array({span.format(kind, 'acc.at + x.skip', end, x='x')})))"
+    block = f"aggregate(slice(rows, CAST(b AS INT) * {BLOCK} + 1, {BLOCK}), named_struct('at', 0, 'out', CAST(array() AS {SPAN})), (acc, x) -> {step})"
+    blocks = let(rows, "rows", f"transform(sequence(0, CAST(floor((size(hits) - 1) / {BLOCK}) AS INT)), b -> {block})")
+    join = "named_struct('at', sums.at + part.at, 'out', concat(sums.out, array(named_struct('by', sums.at, 'spans', part.out))))"
+    moved = f"transform(p.spans, s -> {span.format(kind, 's.start + p.by', 's.end + p.by', x='s')})"
+    start = f"named_struct('at', 0, 'out', CAST(array() AS array<struct<by:int,spans:{SPAN}>>))"
+    placed = f"aggregate({blocks}, {start}, (sums, part) -> {join}, sums -> flatten(transform(sums.out, p -> {moved})))"
+    bound = let(f"split({text}, r'{pattern}', -1)", "gaps", placed)
+    return let(f"regexp_extract_all({text}, r'{pattern}', 0)", "hits", f"CASE WHEN size(hits) > 0 THEN {bound} ELSE CAST(array() AS {SPAN}) END")
+
+
+def span_column(text: str, reach: int) -> Column:
+    """Confirmed spans of all kinds, by kind and then by start. ``text`` is a column's name."""
+    plain = f"translate({text}, '{MARK}', '\n')"  # in no pattern
+    dotted = rf"regexp_replace({plain}, r'(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])', '{MARK}')"
+    joined = f"regexp_replace({plain}, '(?<=[0-9])[ -](?=[0-9])', '{MARK}')"
+    digits = "regexp_replace(s.match, '[^0-9]', '')"
+
+    def spans(kind: str, where: str, pattern: str, gate: str, valid: str) -> str:
         """Spans of texts that pass ``gate``, a cheap test that every text with a span passes."""
-        all_of = found(kind, where, pattern, reach)
-        return F.when(gate, F.filter(all_of, valid) if valid else all_of).otherwise(none)
-
-    def named(kind: str) -> Column:
-        return text.rlike(f"(?i){CONTEXT[kind]}")
-
-    return F.concat(
-        spans("email", dotted, EMAIL, F.contains(text, F.lit("@"))),
-        spans("ip", text, IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), lambda s: s["match"].rlike(IP_PARTS)),
-        spans("card", joined, CARD, text.rlike("[0-9][0-9 -]{14}"), lambda s: F.length(digits(s)).between(16, 19) & luhn(digits(s))),
-        spans("phone", text, PHONE, F.contains(text, F.lit("+")), lambda s: F.length(digits(s)).between(8, 15)),
-        spans("iban", text, IBAN, text.rlike("[A-Z]{2}[0-9]{2}"), lambda s: mod97(F.replace(s["match"], F.lit(" "), F.lit(""))) == 1),
-        spans("ssn", text, SSN, named("ssn") & text.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda s: s["match"].rlike(SSN_PARTS)),
-        spans("imei", text, IMEI, named("imei") & text.rlike("[0-9]{15}"), lambda s: luhn(s["match"])),
-        spans("secret", text, SECRET, named("secret"), lambda s: s["match"].rlike(SECRET_PARTS)),
+        return f"CASE WHEN {gate} THEN filter({found(kind, where, pattern, reach)}, s -> {valid}) ELSE CAST(array() AS {SPAN}) END"
+
+    def named(kind: str) -> str:
+        return f"{text} RLIKE r'(?i){CONTEXT[kind]}'"
+
+    kinds = (
+        spans("email", dotted, EMAIL, f"contains({text}, '@')", "true"),
+        spans("ip", text, IP, rf"{text} RLIKE r'[0-9]\.[0-9]++\.[0-9]'", f"s.match RLIKE r'{IP_PARTS}'"),
+        spans("card", joined, CARD, f"{text} RLIKE r'[0-9][0-9 -]{{14}}'", f"length({digits}) BETWEEN 16 AND 19 AND {luhn(digits)}"),
+        spans("phone", text, PHONE, f"contains({text}, '+')", f"length({digits}) BETWEEN 8 AND 15"),
+        spans("iban", text, IBAN, f"{text} RLIKE r'[A-Z]{{2}}[0-9]{{2}}'", f"{mod97("replace(s.match, ' ', '')")} = 1"),
+        spans("ssn", text, SSN, f"{named('ssn')} AND {text} RLIKE r'[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}'", f"s.match RLIKE r'{SSN_PARTS}'"),
+        spans("imei", text, IMEI, f"{named('imei')} AND {text} RLIKE r'[0-9]{{15}}'", luhn("s.match")),
+        spans("secret", text, SECRET, named("secret"), f"s.match RLIKE r'{SECRET_PARTS}'"),
     )
+    return F.expr(f"concat({', '.join(kinds)})")
 
 
-def score(span: Column) -> Column:
+def score(span: str) -> str:
     """The kind's prior, raised where words of its context are near and lowered where the span is said to be unreal; 0 to 1."""
-    near, out = F.lower(span["near"]), F.lit(0.0)
-    for kind, prior in PRIOR.items():
-        out = F.when(span["kind"] == kind, F.lit(prior) + F.when(near.rlike(CONTEXT[kind]), RAISE).otherwise(0.0)).otherwise(out)
-    return F.round(out - F.when(near.rlike(UNREAL), LOWER).otherwise(0.0), 1)
+    kinds = " ".join(f"WHEN '{k}' THEN {p}D + CASE WHEN near RLIKE r'{CONTEXT[k]}' THEN {RAISE}D ELSE 0D END" for k, p in PRIOR.items())
+    return let(f"lower({span}.near)", "near", f"round(CASE {span}.kind {kinds} END - CASE WHEN near RLIKE r'{UNREAL}' THEN {LOWER}D ELSE 0D END, 1)")
 
 
 def find_pii(docs: DataFrame, reach: int = 32, threshold: float = 0.5) -> DataFrame:
     """doc_id and ``found``: array of (kind, start, end, score), start and end in code points, end exclusive."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), text.alias("body")).withColumn("raw", span_column(F.col("body"), reach))
-    rows = rows.withColumn("found", F.transform("raw", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score(s).alias("score"))))
-    keep = F.filter("found", lambda s: s["kind"].isin(*BASE) | (s["score"] >= threshold))
-    return rows.select("doc_id", keep.alias("found"))
+    rows = docs.select(F.col("doc_id"), text.alias("body")).withColumn("raw", span_column("body", reach))
+    scored = f"transform(raw, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'score', {score('s')}))"
+    keep = f"filter({scored}, s -> s.kind IN {BASE} OR s.score >= {threshold}D)"
+    return rows.select("doc_id", F.expr(keep).alias("found"))
 
 
 def digest(found_rows: DataFrame) -> DataFrame:
