@@ -1,12 +1,15 @@
 """Operator 2: packing by Karmarkar-Karp multiway differencing.
 
 A document's ids are cut into whole windows and a remainder. Remainders are gathered in
-groups of ``group_docs`` within a task (nothing is shuffled), cut by halves down to pieces of at most
-``least`` ids, so that small pieces even out what large ones leave, and dealt to k windows by the largest differencing method: each piece
-starts as a partial partition with one loaded window, and the two partial partitions with
-the largest imbalance are merged with opposing order until one is left. k starts at
-ceil(total / window) and rises while the fullest window exceeds the capacity. A group's
-memory is bounded by ``group_docs * window`` ids.
+groups of ``group_docs`` within a task (nothing is shuffled) and dealt whole to k windows by
+the largest differencing method: each starts as a partial partition with one loaded window,
+and the two partial partitions with the largest imbalance are merged with opposing order
+until one is left. k starts at ceil(total / window). Windows beyond the capacity are closed
+by a cut of at least ``least`` ids, and what is cut off fills the room of the others; while
+some finds no room, k rises and all is dealt again.
+So only what overflows a window is cut. A group ends at ``group_docs`` remainders
+or soon after, when its ids nearly fill a whole number of windows; its memory is bounded by
+``2 * group_docs * window`` ids.
 
 Sequence ids are the task's partition and a counter, so a task that is run again gives the
 same rows. Defined cases: null text counts as empty, so the document is its end id alone;
@@ -55,26 +58,55 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return heap[0][3] if heap else []
 
 
-def pack_sizes(sizes: list[int], window: int) -> list[list[int]]:
-    """Windows of at most ``window`` each; their number rises whenever differencing exceeds it."""
+def close_windows(bins: list[list[tuple[int, int, int]]], window: int, least: int) -> bool:
+    """Cut what windows hold beyond their capacity and place it in others' room; False when some finds none."""
+    load = [sum(b - a for _, a, b in members) for members in bins]
+    spare = []
+    for k, members in enumerate(bins):
+        while load[k] > window:
+            at = max(range(len(members)), key=lambda j: members[j][2] - members[j][1])
+            of, a, b = members.pop(at)
+            off = max(load[k] - window, least)
+            if b - a - off < least:
+                off = b - a
+            else:
+                members.append((of, a, b - off))
+            spare.append((of, b - off, b))
+            load[k] -= off
+    spare.sort(key=lambda p: p[1] - p[2])
+    for k in sorted(range(len(bins)), key=lambda j: load[j]):
+        left = []
+        for j, (of, a, b) in enumerate(spare):
+            room = window - load[k]
+            part = b - a if b - a <= room else min(room, b - a - least)
+            if part < b - a and part < least:
+                left.append((of, a, b))
+                continue
+            bins[k].append((of, a, a + part))
+            load[k] += part
+            if a + part < b:
+                left.append((of, a + part, b))
+            if load[k] == window:
+                left += spare[j + 1 :]
+                break
+        spare = left
+        if not spare:
+            return True
+    return not spare
+
+
+def pack_pieces(sizes: list[int], window: int, least: int) -> list[list[tuple[int, int, int]]]:
+    """Windows of at most ``window`` each; a member is (index into ``sizes``, start, end), and few are cut."""
     if not sizes:
         return []
     k = -(-sum(sizes) // window)
     while True:
-        bins = differencing(sizes, k)
-        if max(sum(sizes[i] for i in b) for b in bins) <= window:
+        bins = [[(i, 0, sizes[i]) for i in members] for members in differencing(sizes, k)]
+        if close_windows(bins, window, least):
             return bins
         k += max(1, k // 200)
 
 
-def halves(n: int, least: int) -> list[int]:
-    """Edges that cut n ids into a half, a quarter and so on, until at most ``least`` are left."""
-    edges = [0]
-    while n - edges[-1] > least:
-        edges.append(edges[-1] + -(-(n - edges[-1]) // 2))
-    return [*edges, n]
-
-
 def encoded(batches, enc, docs: int = 500):
     """(doc_id, ids) of every row, a few documents at a time."""
     for batch in batches:
@@ -90,22 +122,18 @@ def _packer(vocabulary: str | None, end_id: int, window: int, group_docs: int, l
 
         enc = encoder(vocabulary)
         first = TaskContext.get().partitionId() << 40
-        sequence = 0
+        sequence = held = 0
         waiting: list[tuple] = []
         rows: list[tuple] = []
 
         def flush():
             nonlocal sequence
-            pieces = []
-            for doc_id, at, ids, total in waiting:
-                edges = halves(len(ids), least)
-                pieces += [(doc_id, at + a, ids[a:b], total) for a, b in zip(edges, edges[1:], strict=False)]
-            for members in pack_sizes([len(p[2]) for p in pieces], window):
+            for members in pack_pieces([len(w[2]) for w in waiting], window, least):
                 offset = 0
-                for i in sorted(members):
-                    doc_id, at, ids, total = pieces[i]
-                    rows.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes()), total, first + sequence, offset))
-                    offset += len(ids)
+                for i, a, b in sorted(members):
+                    doc_id, at, ids, total = waiting[i]
+                    rows.append((doc_id, at + a, b - a, zlib.crc32(ids[a:b].tobytes()), total, first + sequence, offset))
+                    offset += b - a
                 sequence += 1
             waiting.clear()
 
@@ -123,8 +151,11 @@ def _packer(vocabulary: str | None, end_id: int, window: int, group_docs: int, l
                 sequence += 1
             if whole < len(ids):
                 waiting.append((doc_id, whole, ids[whole:].copy(), len(ids)))
-                if len(waiting) >= group_docs:
+                held += len(ids) - whole
+                # Room for a deal without a further window, and little of it: 5 to 40 % of one window.
+                if len(waiting) >= 2 * group_docs or len(waiting) >= group_docs and 0.6 <= held % window / window <= 0.95:
                     flush()
+                    held = 0
             if len(rows) >= 10_000:
                 yield frame()
         flush()
@@ -135,7 +166,7 @@ def _packer(vocabulary: str | None, end_id: int, window: int, group_docs: int, l
     return pack
 
 
-def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window: int = 2048, group_docs: int = 256, least: int = 32) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window: int = 2048, group_docs: int = 256, least: int = 8) -> DataFrame:
     """Pieces of documents with their sequence and offset; see the module for the method."""
     rows = docs.select(sent_id("doc_id"), "text")
     return given_back(rows.mapInPandas(_packer(vocabulary, end_id, window, group_docs, least), SCHEMA), "doc_id")

@@ -41,16 +41,35 @@ def test_cuckoo_insert_delete_resize():
     assert index.delete(b"\0" * 32) is None
 
 
-def test_packing_windows():
-    rng = random.Random(3)
-    sizes = [rng.randint(1, 700) for _ in range(400)]
-    bins = packing.pack_sizes(sizes, 2048)
-    assert sorted(i for b in bins for i in b) == list(range(400))
-    assert max(sum(sizes[i] for i in b) for b in bins) <= 2048
-    assert packing.pack_sizes([2048] * 3, 2048) and packing.pack_sizes([], 2048) == [] and packing.pack_sizes([5], 2048) == [[0]]
+@pytest.mark.parametrize("count", [1, 2, 3, 40, 400])
+def test_packing_windows(count):
+    rng = random.Random(count)
+    for most in (20, 700, 2048):
+        sizes = [rng.randint(1, most) for _ in range(count)]
+        bins = packing.pack_pieces(sizes, 2048, 8)
+        assert max(sum(b - a for _, a, b in members) for members in bins) <= 2048
+        at = [0] * count
+        for i, a, b in sorted(p for members in bins for p in members):  # every id once
+            assert a == at[i] and b > a
+            at[i] = b
+        assert at == sizes
+        assert len(bins) <= -(-sum(sizes) // 2048) + 1 and sum(map(len, bins)) <= count + 3 * len(bins)
+    assert packing.pack_pieces([], 2048, 8) == [] and packing.pack_pieces([5], 2048, 8) == [[(0, 0, 5)]]
+    assert len(packing.pack_pieces([2048] * 3, 2048, 8)) == 3
     loads = sorted(sum((8, 7, 6, 5, 4)[i] for i in b) for b in packing.differencing([8, 7, 6, 5, 4], 2))
     assert loads == [14, 16]  # Karmarkar and Karp's own example
-    assert packing.halves(100, 32) == [0, 50, 75, 100] and packing.halves(1, 32) == [0, 1]
+
+
+def test_encoder_tells_words_of_one_hash_apart():
+    """Thue-Morse words and their complements collide under any polynomial hash modulo a power of two."""
+    from tokenizers import Tokenizer
+
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    plain = Tokenizer.from_file(vocabulary_path())
+    texts = [word, other, f"x {other} y {word}", other]
+    for some in (texts, texts[1:], texts[:1]):
+        assert [x.tolist() for x in encoder().encode(some)] == [e.ids for e in plain.encode_batch(some, add_special_tokens=False)]
 
 
 def brute_edits(pattern, text):
