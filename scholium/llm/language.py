@@ -6,18 +6,21 @@ frequencies of hashed character 1-, 2- and 3-grams of the whole text (case folde
 everything but letters as one blank), so a machine's decision is a mean of weights over
 places and prediction is one gather per place.
 
-The machines are fitted on the driver on at most ``most_rows`` labelled rows: the same
-number for each language and one at least, first by a hash of the id. That is the only
-limit: every value of ``lang`` is learned. Prediction covers every row.
+The machines are fitted on at most ``most_rows`` labelled rows: the same number for each
+language and one at least, first by a hash of the id. That is the only limit: every value
+of ``lang`` is learned, from whole texts. Tasks count the n-grams of the chosen texts and
+the driver gets the counts alone. Prediction covers every row.
 
 Defined cases: null text and texts without a letter give ``und`` with score 0; with no
 usable label everything is ``und``, with one language every text with a letter is that
-language; a null id is not held out; rows that repeat get equal predictions; an empty
+language; of labelled rows that share id and language the least text is learned, rows
+without an id are not learned from; a null id is not held out; rows that repeat get equal predictions; an empty
 table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scholium.llm.shared import given_back, sent_id
+from scholium.llm.shared import given_back, release, sent_id
 from scholium.llm.tokens import LETTER, WIDE, _classes, mix
 from scholium.llm.words import chunks
 
@@ -71,7 +74,7 @@ class Grams:
         self.table = np.array([lower[c] if kinds[c] == LETTER else 32 for c in range(WIDE)] + [32], np.uint64)
 
     def __call__(self, texts: list[str]):
-        for _, group in chunks(texts):
+        for _, group in chunks(texts, 1 << 18):
             chars = np.frombuffer(("\n" + "\n".join(group) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
             codes = self.table[np.minimum(chars, WIDE)]
             if (wide := np.flatnonzero(chars >= WIDE)).size:
@@ -94,7 +97,7 @@ def fit_machine(x: np.ndarray, y: np.ndarray, steps: int = 120, penalty: float =
     y = y.astype(np.float32)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w, look, bias, look_b = np.zeros(d, np.float32), np.zeros(d, np.float32), np.float32(0), np.float32(0)
-    rate = np.float32(0.5 / (float(share @ (x * x).sum(1)) + 1 + penalty))
+    rate = np.float32(0.5 / (float(share @ np.einsum("ij,ij->i", x, x)) + 1 + penalty))
     for t in range(1, steps + 1):
         slack = np.maximum(0, 1 - y * (x @ look + look_b)) * share * y
         new, new_b = look + 2 * rate * (x.T @ slack) - rate * penalty * look, look_b + 2 * rate * slack.sum()
@@ -157,17 +160,25 @@ class LanguageModel:
         return vote.labels[int(got.argmax())], float(got.max() / (len(vote.labels) - 1))
 
 
-def fit_languages(texts: list[str], langs: list[str]) -> LanguageModel:
-    """Fit the family machines and the one-versus-one machines within each family."""
-    rows = [k for k, t in enumerate(texts) if any(c.isalpha() for c in t)]
-    texts, langs = [texts[k] for k in rows], [langs[k] for k in rows]
-    x = np.zeros((len(texts), 1 << BITS), np.float32)
-    at = 0
-    for places, starts, lengths, _ in Grams()(texts):
-        for s, n in zip(starts, lengths, strict=True):
-            x[at] = np.bincount(places[s : s + n].ravel(), minlength=1 << BITS) / max(1, n)
-            at += 1
-    scale = 1 / (np.sqrt((x**2).mean(0)) + 1e-4) / np.float32(64) if len(x) else np.ones(1 << BITS, np.float32)
+def gram_counts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Of each text: the n-grams it has, their relative frequencies and its letters."""
+    for places, starts, lengths, letters in Grams()(texts):
+        for s, n, many in zip(starts.tolist(), lengths.tolist(), letters.tolist(), strict=True):
+            count = np.bincount(places[max(0, s) : s + n].ravel(), minlength=1 << BITS) if n else np.zeros(1 << BITS, np.int64)
+            held = np.flatnonzero(count)
+            yield held.astype("<u2"), (count[held] / max(1, n)).astype("<f4"), many
+
+
+def _counts(batches):
+    for batch in batches:
+        rows = [(lang, held.tobytes(), share.tobytes()) for lang, (held, share, letters) in zip(batch["lang"], gram_counts(list(batch["text"])), strict=True) if letters]
+        yield pd.DataFrame(rows, columns=["lang", "held", "share"])
+
+
+def fit_languages(x: np.ndarray, langs: list[str]) -> LanguageModel:
+    """Fit the family machines and the one-versus-one machines within each family; ``x`` has a row of frequencies a text."""
+    x = x.copy()
+    scale = 1 / (np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-4) / np.float32(64) if len(x) else np.ones(1 << BITS, np.float32)
     x *= scale
     lang = np.array(langs, object)
     family = np.array([FAMILY_OF.get(v, v) for v in langs], object)
@@ -179,7 +190,7 @@ def fit_languages(texts: list[str], langs: list[str]) -> LanguageModel:
             for j in range(i + 1, len(labels)):
                 use = (of == a) | (of == labels[j])
                 y = np.where(of[use] == a, 1.0, -1.0)
-                w, bias = fit_machine(x[use], y)
+                w, bias = fit_machine(x if use.all() else x[use], y)
                 pairs.append((i, j))
                 columns.append(len(weights))
                 weights.append(w * scale)
@@ -193,16 +204,31 @@ def fit_languages(texts: list[str], langs: list[str]) -> LanguageModel:
     return LanguageModel(top, within, stack, np.array(biases), np.array(slopes))
 
 
-def training_sample(docs: DataFrame, most_rows: int, most_chars: int) -> tuple[list[str], list[str]]:
-    """At most ``most_rows`` whole labelled texts of at most ``most_chars``, as many of each language (one at least), by a hash of the id."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars) & ~held_out(F.col("doc_id"), 4, 2))
+def training_sample(docs: DataFrame, most_rows: int) -> tuple[np.ndarray, list[str]]:
+    """(n-gram frequencies, languages) of at most ``most_rows`` labelled texts with a letter, as many of each language (one at least), by a hash of the id."""
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
     usable = usable.select("doc_id", "lang", F.xxhash64(F.col("doc_id"), F.lit(11)).alias("order"))
-    langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    langs = usable.groupBy("lang").count().collect()
     each = max(1, most_rows // max(1, len(langs)))
-    ranked = lowest_hashes(usable, "lang", "order", each, {r["lang"]: r["count"] for r in langs}).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).filter(F.col("rank") <= each)
+    low = lowest_hashes(usable, "lang", "order", each, {r["lang"]: r["count"] for r in langs}).distinct()
+    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).filter(F.col("rank") <= each)
     chosen = ranked.select(F.col("doc_id").alias("id"), F.col("lang").alias("of"))
-    rows = docs.join(F.broadcast(chosen), (docs["doc_id"] == chosen["id"]) & (docs["lang"] == chosen["of"])).select("doc_id", "text", "lang").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return [r["text"] for r in rows], [r["lang"] for r in rows]
+    rows = docs.filter("text IS NOT NULL").join(F.broadcast(chosen), (docs["doc_id"] == chosen["id"]) & (docs["lang"] == chosen["of"]))
+    rows = rows.groupBy("id", "of").agg(F.min("text").alias("text")).select("id", F.col("of").alias("lang"), "text")
+    got = rows.mapInPandas(_counts, "lang string, held binary, share binary").collect()
+    x = np.zeros((len(got), 1 << BITS), np.float32)
+    # Rows in one order on every run: sums of floats depend on it.
+    got = sorted(got, key=lambda r: (r["lang"], bytes(r["held"]), bytes(r["share"])))
+    for row, r in zip(x, got, strict=True):
+        row[np.frombuffer(r["held"], "<u2")] = np.frombuffer(r["share"], "<f4")
+    return x, [r["lang"] for r in got]
+
+
+def fitted(docs: DataFrame, most_rows: int) -> LanguageModel:
+    """The model of ``docs``, with the memory of its fitting given back."""
+    model = fit_languages(*training_sample(docs, most_rows))
+    release()
+    return model
 
 
 def _predictor(model: LanguageModel):
@@ -215,9 +241,9 @@ def _predictor(model: LanguageModel):
     return predict
 
 
-def identify(spark: SparkSession, docs: DataFrame, most_rows: int = 2000, most_chars: int = 50_000) -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, most_rows: int = 2000) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row."""
-    model = fit_languages(*training_sample(docs, most_rows, most_chars))
+    model = fitted(docs, most_rows)
     rows = docs.select(sent_id("doc_id"), held_out(F.col("doc_id"), 4, 2).alias("held_out"), "text")
     return given_back(rows.mapInPandas(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double"), "doc_id")
 
@@ -228,7 +254,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, least: float = LEAST_S
     Where no language could be learned, all rows stay. The score tells uncertain decisions, not junk: letter
     junk can lie near one language, and a single decision (one family, or a family a language) scores 0.5 at least.
     """
-    model = fit_languages(*training_sample(docs, 2000, 50_000))
+    model = fitted(docs, 2000)
     if not model.top.labels:
         return docs
 

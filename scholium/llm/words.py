@@ -23,13 +23,13 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive texts of about CHUNK characters, with the first one's index."""
+def chunks(texts: list[str], most: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive texts of about ``most`` characters, with the first one's index."""
     first, size, group = 0, 0, []
     for k, t in enumerate(texts):
         group.append(t)
         size += len(t)
-        if size >= CHUNK:
+        if size >= most:
             yield first, group
             first, size, group = k + 1, 0, []
     if group:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scholium.llm import decontaminate, html_text, jaccard_join, language, packing, warc
 from scholium.llm.exact_dedup import CuckooIndex
 from scholium.llm.quality import features, fit_quality
+from scholium.llm.quality import quality as score_quality
 from scholium.llm.tokens import encoder, vocabulary_path
 
 
@@ -217,8 +218,8 @@ def test_every_language_is_learned(spark):
     names = [f"l{k}" for k in range(70)]
     rows = [(100 * k + j, f"text of {n}", n) for k, n in enumerate(names) for j in range(8 if k < 64 else 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert set(language.training_sample(docs, 210, 1000)[1]) == set(names)
-    assert set(language.training_sample(docs, 10, 1000)[1]) == set(names)
+    assert set(language.training_sample(docs, 210)[1]) == set(names)
+    assert set(language.training_sample(docs, 10)[1]) == set(names)
 
 
 def test_uncertain_languages_go_and_unlabelled_corpora_stay(spark, sf):
@@ -226,7 +227,7 @@ def test_uncertain_languages_go_and_unlabelled_corpora_stay(spark, sf):
     assert language.keep_identified(spark, docs).count() == docs.count()  # clean documents stay
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     assert language.keep_identified(spark, bare).count() == docs.count()
-    model = language.fit_languages(*language.training_sample(docs, 2000, 50_000))
+    model = language.fit_languages(*language.training_sample(docs, 2000))
     rng = random.Random(2)
     junk = ["".join(rng.choice("qxzjkvwyñéß ") for _ in range(60)) for _ in range(3000)]
     score = model.decide(junk, language.Grams())[1]
@@ -243,3 +244,46 @@ def test_all_articles_of_a_page_are_its_text():
     assert html_text.main_text(page) == "\n\n".join([one, two, three])
     page = f"<body><nav>Home</nav><main><p>{two}</p><article><p>{one}</p></article><aside>see also</aside><p>{three}</p></main></body>"
     assert html_text.main_text(page) == "\n\n".join([two, one, three])
+
+
+def test_training_takes_long_texts_and_one_text_of_an_id(spark):
+    rows = [(1, "a " * 60_000, "l1"), (3, "b c", "l2"), (3, "b a", "l2"), (3, "b a", "l2"), (None, "z", "l2"), (4, None, "l3"), (5, "12", "l4")]
+    x, langs = language.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100)
+    assert langs == ["l1", "l2"] and x.shape[0] == 2
+    expected = next(language.gram_counts(["b a"]))
+    assert x[1].nonzero()[0].tolist() == expected[0].tolist()
+
+
+def test_one_versus_one_votes():
+    """The vote's winner against counting by hand."""
+    rng = np.random.default_rng(3)
+    labels = ["a", "b", "c", "d"]
+    pairs = list(combinations(range(4), 2))
+    vote = language.Vote(labels, pairs, list(range(6)))
+    for _ in range(50):
+        chance = rng.random(6)
+        got = {k: 0.0 for k in range(4)}
+        for (i, j), p in zip(pairs, chance):
+            got[i] += p
+            got[j] += 1 - p
+        best = max(got, key=lambda k: (got[k], -k))
+        assert language.LanguageModel._best(vote, chance) == (labels[best], pytest.approx(got[best] / 3))
+
+
+def test_quality_threshold_is_the_quantile():
+    """At the threshold, as large a share of the training rows is below as label 0 has."""
+    rng = np.random.default_rng(4)
+    y = np.repeat([1, 0], [60, 40])
+    x = rng.normal(size=(100, 5)) + y[:, None]
+    model = fit_quality(x, y, 0.4, pairs=2000, steps=60)
+    assert abs((model.strength(x) < model.threshold).mean() - 0.4) <= 0.02
+    same = fit_quality(np.ones((10, 3)), np.array([1, 0] * 5), 0.5, pairs=50, steps=5)  # ties only
+    assert np.isfinite(same.strength(np.ones((1, 3)))).all()
+
+
+def test_quality_of_repeated_ids(spark):
+    rows = [(k, f"This is sentence {k} of a text. It ends here.") for k in range(0, 60)] + [(0, "x x x x")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    got = [r["score"] for r in score_quality(spark, docs, labels).filter("doc_id = 0").collect()]
+    assert len(got) == 51 and len({s for s in got}) == 2
