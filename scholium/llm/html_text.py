@@ -1,13 +1,19 @@
 """Operator 7: main text of HTML pages by smoothed text-to-tag ratios.
 
 The standard library's streaming parser turns a page into lines, one per block element,
-each with its text, its number of tags and its place in the element tree. The text-to-tag
-ratio of the lines is smoothed with a Gaussian, lines at or above the threshold (the
-standard deviation of the smoothed ratios) form content clusters, and the cluster mass
-selects the content region: all top-level ``article`` and ``main`` elements with visible
-text, in page order, else the deepest element that holds it. All lines of that region are the main text, so short paragraphs next to long
-ones stay, without what the page marks as menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or comments by its elements, classes, ids or roles.
+each with its text, its number of tags and its place in the element tree. What a page marks
+as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments,
+by elements, classes, ids or roles, is no content: its lines have the ratio 0 and are never
+returned. The text-to-tag ratios are smoothed with a Gaussian over neighbouring lines; lines
+at or above the threshold (the standard deviation of the smoothed ratios) form clusters, and
+a cluster's mass is its characters. The masses select the content regions: the top-level
+``article`` and ``main`` elements that hold part of a cluster, if these hold at least
+``HINTED`` of all mass together, else the deepest element with nine tenths of it. All lines
+of the regions are the main text, in page order, so short paragraphs next to long ones stay.
+
+Parsing is linear in the page, however deep its elements nest: the parser keeps a stack and
+the places of each name on it, elements are numbered as they open, and an element's lines are
+those of a range of numbers.
 
 Defined cases: null, empty and text-free html give an empty string; character references
 are decoded; white space inside a block becomes one space; unclosed and stray tags are
@@ -18,6 +24,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -34,11 +41,14 @@ BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 REGIONS = frozenset("article main".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 PEERS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
+LISTS = frozenset(("ul", "ol", "dl", "table"))
 SCOPES = frozenset("ul ol dl table body article main section div nav aside footer header form html td th blockquote".split())
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|footer|masthead|cookies?|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|pagination|pager|widget|toolbar|skip-link|site-header|page-header|topbar)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+#: The least share of all cluster mass by which article and main elements are the content regions.
+HINTED = 0.2
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 
@@ -46,50 +56,64 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 class Line:
     text: str
     tags: int
-    path: tuple[int, ...]
+    node: int  # number of the block element that holds it
+    region: int  # number of the top-level article or main around it, else 0
+    hidden: bool
+
+
+@dataclass
+class Open:
+    name: str
+    node: int
     region: int
     hidden: bool
+    silent: bool
 
 
 class LineParser(HTMLParser):
-    """Parser events as lines. ``names`` holds the element name of each path number."""
+    """Parser events as lines. Block elements are numbered as they open; 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.names: list[str] = ["#root"]
-        self.open: list[tuple[str, int, bool, bool]] = []  # name, number, hidden, silent
-        self.path: tuple[int, ...] = (0,)
+        self.stack = [Open("#root", 0, 0, False, False)]
+        self.places: dict[str, list[int]] = defaultdict(list)  # of each open name on the stack
+        self.blocks = [0]  # places of open block elements
+        self.names = ["#root"]
+        self.parent, self.depth, self.last = [0], [0], [0]  # by number; ``last`` is the highest number inside
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = 0
 
-    def _state(self) -> tuple[bool, bool]:
-        return (self.open[-1][2], self.open[-1][3]) if self.open else (False, False)
-
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            region = next((n for n in reversed(self.path) if self.names[n] in REGIONS), 0)
-            self.lines.append(Line(text, self.tags, self.path, region, self._state()[0]))
+            block = self.stack[self.blocks[-1]]
+            top = self.stack[-1]
+            self.lines.append(Line(text, self.tags, block.node, top.region, top.hidden))
         self.tags = 0
 
-    def _pop_to(self, depth: int) -> None:
-        """Close elements until ``depth`` are open."""
-        if any(name not in INLINE for name, *_ in self.open[depth:]):
+    def _pop_to(self, place: int) -> None:
+        """Close elements until ``place`` are open."""
+        if self.blocks[-1] >= place:
             self._flush()
-        closed = sum(name not in INLINE for name, *_ in self.open[depth:])
-        del self.open[depth:]
-        if closed:
-            self.path = self.path[: len(self.path) - closed]
-
-    def _last(self, names: set[str], limits: frozenset[str]) -> int | None:
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] in names:
-                return depth
-            if self.open[depth][0] in limits:
-                return None
-        return None
+        while len(self.stack) > place:
+            gone = self.stack.pop()
+            if gone.name:
+                self.places[gone.name].pop()
+            if self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+                self.last[gone.node] = len(self.names) - 1
+
+    def _innermost(self, names: tuple[str, ...] | frozenset[str]) -> int:
+        """The highest place of an open element of these names; 0 if none is open."""
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
+
+    def _close(self, names: tuple[str, ...], limits: frozenset[str]) -> None:
+        """An end tag that the page left out."""
+        place = self._innermost(names)
+        if place and place > self._innermost(limits):
+            self._pop_to(place)
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in VOID:
@@ -99,26 +123,29 @@ class LineParser(HTMLParser):
                 self._flush()
             self.tags += 1
             return
-        if tag in CLOSES_P and (depth := self._last({"p"}, SCOPES)) is not None:
-            self._pop_to(depth)
-        if tag in PEERS and (depth := self._last(set(PEERS[tag].split()), frozenset(("ul", "ol", "dl", "table")))) is not None:
-            self._pop_to(depth)
-        if tag == "body" and (depth := self._last({"head"}, frozenset())) is not None:
-            self._pop_to(depth)
-        hidden, silent = self._state()
+        if tag in CLOSES_P:
+            self._close(("p",), SCOPES)
+        if tag in PEERS:
+            self._close(tuple(PEERS[tag].split()), LISTS)
+        if tag == "body":
+            self._close(("head",), frozenset())
         if tag not in INLINE:
             self._flush()
+        top = self.stack[-1]
+        node, region, hidden = top.node, top.region, top.hidden
         if not hidden:
-            held = dict(attrs)
-            inside = any(self.names[n] in REGIONS for n in self.path)
-            hidden = tag in BOILERPLATE or tag in SILENT or tag == "header" and not inside or tag not in ("html", "body", *REGIONS) and self._marked(held)
-        silent = silent or tag in SILENT
-        number = 0
+            hidden = tag in BOILERPLATE or tag in SILENT or tag == "header" and not region or tag not in ("html", "body", *REGIONS) and self._marked(dict(attrs))
         if tag not in INLINE:
-            number = len(self.names)
+            node, above = len(self.names), self.stack[self.blocks[-1]].node
             self.names.append(tag)
-            self.path = (*self.path, number)
-        self.open.append((tag, number, hidden, silent))
+            self.parent.append(above)
+            self.depth.append(self.depth[above] + 1)
+            self.last.append(node)
+            self.blocks.append(len(self.stack))
+            if tag in REGIONS and not region:
+                region = node
+        self.places[tag].append(len(self.stack))
+        self.stack.append(Open(tag, node, region, hidden, top.silent or tag in SILENT))
         self.tags += 1
 
     @staticmethod
@@ -134,62 +161,60 @@ class LineParser(HTMLParser):
         if tag == "br":
             self.parts.append(" ")
             return
-        depth = next((d for d in range(len(self.open) - 1, -1, -1) if self.open[d][0] == tag), None)
-        if depth is None:
+        place = self._innermost((tag,))
+        if not place:
             return
-        if tag in INLINE and any(name not in INLINE for name, *_ in self.open[depth:]):
-            del self.open[depth]  # an inline end beyond a block's edge
+        if tag in INLINE and self.blocks[-1] > place:  # an inline end beyond a block's edge
+            self.places[tag].pop()
+            self.stack[place].name = ""
             return
-        self._pop_to(depth)
+        self._pop_to(place)
 
     def handle_data(self, data: str) -> None:
-        hidden, silent = self._state()
-        if silent:
+        top = self.stack[-1]
+        if top.silent or top.hidden and top.name in INLINE:  # the latter is marked, inside a visible block
             return
-        if hidden != getattr(self, "_was", hidden) and self.parts:
-            self.parts.append(" ")
-        if hidden and self.open[-1][0] in INLINE:
-            return  # an inline element that is marked, inside a visible block
         self.parts.append(data)
 
+    def end(self) -> None:
+        self.close()
+        self._pop_to(1)
+        self._flush()
+        self.last[0] = len(self.names) - 1
+
 
 def smoothed_ratios(lines: list[Line], sigma: float = 1.5) -> np.ndarray:
-    """Characters per tag of each line, smoothed over neighbouring lines."""
-    ratio = np.array([len(x.text) / max(1, x.tags) for x in lines], np.float64)
+    """Characters per tag of each line, 0 for marked ones, smoothed over neighbouring lines."""
+    ratio = np.array([0.0 if x.hidden else len(x.text) / max(1, x.tags) for x in lines], np.float64)
     reach = int(3 * sigma)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    smooth = np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), "valid")
-    return smooth
+    return np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
 def content_lines(html: str) -> list[Line]:
-    """The lines of the selected region that are not marked as boilerplate."""
-    parser = LineParser()
-    parser.feed(html)
-    parser.close()
-    parser._pop_to(0)
-    parser._flush()
-    lines = parser.lines
-    if not lines:
-        return []
-    smooth = smoothed_ratios(lines)
-    dense = smooth >= smooth.std()
-    shown = [k for k, x in enumerate(lines) if not x.hidden]
+    """The lines of the selected regions that are not marked as boilerplate."""
+    page = LineParser()
+    page.feed(html)
+    page.end()
+    shown = [x for x in page.lines if not x.hidden]
     if not shown:
         return []
-    cluster = [k for k in shown if dense[k]] or shown
-    if any(lines[k].region for k in shown):
-        return [lines[k] for k in shown if lines[k].region]
-    total = sum(len(lines[k].text) for k in cluster)
-    held: dict[int, int] = {}
-    for k in cluster:
-        for n in lines[k].path:
-            held[n] = held.get(n, 0) + len(lines[k].text)
-    region = max((n for n, c in held.items() if 10 * c >= 9 * total), key=lambda n: max(x.path.index(n) for x in lines if n in x.path))
-    if parser.names[region] in CLOSES_P - {"div", "section"}:  # a block alone is no region
-        path = next(x.path for x in lines if region in x.path)
-        region = path[max(0, path.index(region) - 1)]
-    return [lines[k] for k in shown if region in lines[k].path]
+    smooth = smoothed_ratios(page.lines)
+    dense = smooth >= smooth.std()
+    cluster = [x for x, d in zip(page.lines, dense.tolist(), strict=True) if d and not x.hidden] or shown
+    total = sum(len(x.text) for x in cluster)
+    hinted = {x.region for x in cluster if x.region}
+    if hinted and sum(len(x.text) for x in cluster if x.region) >= HINTED * total:
+        return [x for x in shown if x.region in hinted]
+    mass = [0] * len(page.names)
+    for x in cluster:
+        mass[x.node] += len(x.text)
+    for node in range(len(mass) - 1, 0, -1):  # children have higher numbers
+        mass[page.parent[node]] += mass[node]
+    region = max((n for n, m in enumerate(mass) if 10 * m >= 9 * total), key=lambda n: page.depth[n])
+    if page.names[region] in CLOSES_P - {"div", "section"}:  # a block alone is no region
+        region = page.parent[region]
+    return [x for x in shown if region <= x.node <= page.last[region]]
 
 
 def main_text(html: str | None) -> str:

@@ -1,6 +1,9 @@
 """Units of the operators against plain Python."""
 
+import html
 import random
+import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -8,7 +11,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from scholium.llm import decontaminate, html_text, jaccard_join, language, packing, warc
+from scholium.llm import decontaminate, html_text, jaccard_join, language, packing, pii, warc
 from scholium.llm.exact_dedup import CuckooIndex
 from scholium.llm.quality import features, fit_quality
 from scholium.llm.quality import quality as score_quality
@@ -287,3 +290,64 @@ def test_quality_of_repeated_ids(spark):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
     got = [r["score"] for r in score_quality(spark, docs, labels).filter("doc_id = 0").collect()]
     assert len(got) == 51 and len(set(got)) <= 2  # equal texts, equal scores
+
+
+def plain_article(page):
+    """Words of the article by cutting strings: marked elements out, tags out, references decoded."""
+    body = re.search(r"<article[^>]*>(.*?)</article>", page, re.S).group(1)
+    body = re.sub(r"<!--.*?-->", " ", body, flags=re.S)
+    for name in ("script", "style", "nav", "aside", "form", "footer"):
+        body = re.sub(rf"<{name}\b.*?</{name}>", " ", body, flags=re.S)
+    body = re.sub(r'<(div|section|ul|p)\b[^>]*class="[^"]*\b(ad|ads|comments?|share|related|newsletter|cookie|sidebar)\b[^"]*"[^>]*>.*?</\1>', " ", body, flags=re.S)
+    inline = re.compile(r"</?(?:a|b|i|em|strong|span|code|u|s|small|sub|sup|mark)\b[^>]*>")
+    return html.unescape(re.sub(r"<[^>]*>", " ", inline.sub("", body))).split()
+
+
+def test_main_text_of_every_page_against_string_cutting(sf):
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table(f"{sf}/pages.parquet", columns=["html"])["html"].to_pylist():
+        if page:
+            assert html_text.main_text(page).split() == plain_article(page)
+
+
+STORY = "".join(f"<p>{'The story goes on with many plain words here. ' * 3}</p>" for _ in range(6))
+TEASERS = "".join("<article><h2><a href='/x'>More</a></h2><ul><li><a>a</a></li><li><a>b</a></li></ul></article>" for _ in range(8))
+
+
+def test_ratios_choose_the_region(monkeypatch):
+    """Teasers in article elements lose to a dense story outside; without the ratios they win."""
+    page = f"<body><div id='story'><h1>Title</h1>{STORY}</div><div>{TEASERS}</div></body>"
+    text = html_text.main_text(page)
+    assert text.startswith("Title\n\nThe story") and "More" not in text
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "smoothed_ratios", lambda lines: np.array([float("story" not in x.text) for x in lines]))
+        assert "More" in html_text.main_text(page) and "story" not in html_text.main_text(page)
+
+
+def test_pages_cost_in_proportion_to_their_depth():
+    began = time.process_time()
+    assert html_text.main_text("<div>x" * 20_000).count("x") == 20_000
+    html_text.main_text("<b>" * 20_000 + "<h1>a</h1>" * 20_000)
+    html_text.main_text("<td><b>x</i><p>" * 20_000)
+    assert time.process_time() - began < 40
+
+
+def test_pii_context_decides_and_dense_texts_are_linear(spark):
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = {
+        1: "iban DE89370400440532013000 OK", 2: "pay DE89 3704 0044 0532 0130 00 PLEASE PAY NOW",
+        3: "for example DE89370400440532013000 here", 4: "example bank account DE89370400440532013000", 5: "iban DE89370400440532013001",
+        6: "ssn 123-45-6789 and 666-11-1111", 7: "no. 123-45-6789", 8: f'token = "{token}"', 9: f"commit {token}",
+        10: "IMEI 490154203237518 or 490154203237519", 11: "example a@b.cd",
+    }
+    dense = " ".join(f"user{i}@mail{i}.example.com" for i in range(20_000))
+    df = spark.createDataFrame([*texts.items(), (0, dense)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.digest(pii.find_pii(df)).collect()}
+    assert time.time() - began < 90
+    spans = {k: r["spans"] for k, r in got.items() if k}
+    assert spans == {1: "iban:5:27", 2: "iban:4:31", 3: "", 4: "iban:21:43", 5: "", 6: "ssn:4:15", 7: "", 8: "secret:9:49", 9: "", 10: "imei:5:20", 11: "email:8:14"}
+    assert got[0]["n_email"] == 20_000
+    start, end = map(int, got[0]["spans"].rsplit(":", 2)[1:])
+    assert dense[start:end] == "user19999@mail19999.example.com"
