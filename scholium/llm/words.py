@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from scholium.llm.tokens import LETTER, NUMBER, WIDE, _classes, mix, span_hashes
+from scholium.llm.tokens import LETTER, NUMBER, WIDE, _classes, mix
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 BYTE_CODES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLD)
@@ -17,6 +17,38 @@ BYTE_WHITE[[9, 10, 11, 12, 13, 32]] = True
 CHUNK = 1 << 20
 
 
+class Places:
+    """Scrambled place numbers, as far as asked for."""
+
+    def __init__(self):
+        self.codes = np.zeros(0, np.uint64)
+
+    def need(self, n: int) -> np.ndarray:
+        if len(self.codes) < n:
+            self.codes = mix(np.arange(1, max(n, 1 << 12) + 1, dtype=np.uint64) * _GOLD)
+        return self.codes
+
+
+PLACES = Places()
+
+
+def word_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words codes[start:end]: sums of scrambled (character, place) pairs.
+
+    Unlike a polynomial modulo 2**64, whose value repeats on patterned words of any odd multiplier, the terms of
+    a sum have nothing in common from place to place; words collide as random 64-bit numbers do.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    inside = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    place = inside - np.repeat(starts, sizes)
+    terms = (codes[inside] ^ PLACES.need(int(sizes.max()))[place]) * np.uint64(0xBF58476D1CE4E5B9)
+    terms ^= terms >> np.uint64(29)
+    terms *= np.uint64(0x94D049BB133111EB)
+    return mix(np.add.reduceat(terms, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
+
+
 def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
@@ -43,7 +75,7 @@ def ascii_words(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
         starts, stops = runs(~BYTE_WHITE[data])
-        hashes = span_hashes(BYTE_CODES[data], starts, stops)
+        hashes = word_hashes(BYTE_CODES[data], starts, stops)
         bounds = np.searchsorted(starts, ends)
         yield hashes, np.diff(bounds, prepend=0)
 
@@ -72,4 +104,4 @@ class LetterWords:
                 low = np.array([ord(x) if len(x := chr(v).lower()) == 1 else v for v in c.tolist()], np.uint64)
                 codes[wide] = mix((low + np.uint64(1)) * _GOLD)
             starts, stops = runs(inside)
-            yield first, span_hashes(codes, starts, stops), np.diff(np.searchsorted(starts, ends), prepend=0)
+            yield first, word_hashes(codes, starts, stops), np.diff(np.searchsorted(starts, ends), prepend=0)

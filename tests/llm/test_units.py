@@ -351,3 +351,67 @@ def test_pii_context_decides_and_dense_texts_are_linear(spark):
     assert got[0]["n_email"] == 20_000
     start, end = map(int, got[0]["spans"].rsplit(":", 2)[1:])
     assert dense[start:end] == "user19999@mail19999.example.com"
+
+
+def families(rng, count, size, words=60):
+    sets = []
+    for _ in range(count):
+        base = rng.sample(range(1, 10**6), words)
+        for _ in range(size):
+            drop = rng.sample(base, rng.randint(0, words // 5))
+            sets.append(np.array(sorted(set(base) - set(drop) | set(rng.sample(range(10**6, 10**7), rng.randint(0, words // 8)))), np.uint64))
+    return sets
+
+
+def test_linked_sets_meet_in_a_voronoi_cell():
+    rng = random.Random(12)
+    sets = families(rng, 5, 12)
+    for pivots in (sets[::7], sets[:3], sets[:1], [np.array([1], np.uint64)]):
+        far, cells = jaccard_join.voronoi(sets, pivots, 80)
+        held = {}
+        for k, p in cells:
+            held.setdefault(k, set()).add(p)
+        assert set(held) == set(range(len(sets)))
+        for a, b in combinations(range(len(sets)), 2):
+            d = 1 - len(set(sets[a].tolist()) & set(sets[b].tolist())) / len(set(sets[a].tolist()) | set(sets[b].tolist()))
+            if d <= 0.2:
+                assert held[a] & held[b]
+        both = [len(set(x.tolist()) & set(pivots[0].tolist())) for x in sets]
+        assert far.tolist() == pytest.approx([1 - n / (len(x) + len(pivots[0]) - n) for n, x in zip(both, sets)])
+
+
+@pytest.mark.parametrize("size", [4, 16])
+def test_large_regions_split_into_cells(spark, size):
+    """One region of many families: cells for those apart, balls for dense ones, and the links of brute force."""
+    rng = random.Random(size)
+    texts = []
+    for family in range(48 // size):
+        base = [f"w{family}x{i}" for i in range(40)]
+        texts += [" ".join(f"e{rng.randrange(10**6)}" if rng.random() < 0.012 else w for w in base) for _ in range(size)]
+    texts = list({jaccard_join.fingerprint(x): t for x, t in zip(jaccard_join.shingle_sets(texts), texts)}.values())  # a node is one set
+    sets = list(jaccard_join.shingle_sets(texts))
+    nodes = [jaccard_join.fingerprint(x) for x in sets]
+    members = spark.createDataFrame([(1, n, t) for n, t in zip(nodes, texts)], "region long, node long, text string")
+    links, left = jaccard_join._large_regions(spark, members, 80, 10, 16)
+    assert left.groupBy("region").count().agg(F.max("count")).first()[0] <= 10
+    found = [(r["u"], r["v"]) for df in links for r in df.collect()]
+    for r in left.groupBy("region").agg(F.collect_list("node").alias("nodes")).collect():
+        own = [nodes.index(n) for n in r["nodes"]]
+        found += [(nodes[own[a]], nodes[own[b]]) for a, b in jaccard_join.region_links([sets[k] for k in own], 80)]
+
+    def components(pairs):
+        c = jaccard_join.Components(len(sets))
+        for a, b in pairs:
+            c.join(a, b)
+        return [c.root(k) for k in range(len(sets))]
+
+    at = {n: k for k, n in enumerate(nodes)}
+    every = [(a, b) for a, b in combinations(range(len(sets)), 2) if jaccard_join.linked(sets[a], sets[b], 80)]
+    assert components((at[u], at[v]) for u, v in found) == components(every)
+
+
+def test_patterned_words_have_different_hashes():
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    a, b = jaccard_join.shingle_sets([word, other])
+    assert a[0] != b[0]
