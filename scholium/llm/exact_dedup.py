@@ -134,7 +134,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     base = cut(spark, base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")))
     partial = base.groupBy("digest", "salt").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
     partial = cut(spark, partial)
-    groups = partial.repartition(F.col("digest")).select("digest", "top", "n").mapInPandas(_index_groups, "digest binary, keep_id long, group_size long")
+    # One task's index holds about a million digests, whatever the session's number of partitions.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-partial.count() // 1_000_000))
+    groups = partial.repartition(tasks, F.col("digest")).select("digest", "top", "n").mapInPandas(_index_groups, "digest binary, keep_id long, group_size long")
     spread = partial.select("digest", "salt").join(groups, "digest")
     rows = base.repartition("digest", "salt").groupBy("digest", "salt", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     joined = rows.join(spread, ["digest", "salt"], "left")
