@@ -159,7 +159,13 @@ def citation_label(author: Column, year: Column, doi: Column, title: Column, ide
 
 
 def reference_label(title: Column, author: Column, year: Column) -> Column:
-    both = F.nullif(F.trim(F.concat_ws(" ", author, year.cast("string"))), F.lit(""))
+    """Title, else author and year without placeholders, else a fixed label."""
+
+    def told(value: Column) -> Column:
+        text = F.trim(value.cast("string"))
+        return F.when(~F.lower(text).isin("", "author unknown", "unknown", "0"), text)  # fixed values
+
+    both = F.nullif(F.concat_ws(" ", told(author), told(year)), F.lit(""))
     return F.coalesce(F.nullif(F.trim(title), F.lit("")), both, F.lit("Unresolved reference"))
 
 

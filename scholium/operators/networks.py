@@ -75,7 +75,7 @@ def scalable_coupling(references: DataFrame, works: DataFrame, pool: int = 500,
     """Bibliographic coupling of the best candidates over informative references only.
 
     Candidates have at least ``least_references`` references and the highest ln(1 + citations) +
-    0.35 ln(1 + references); a reference is informative if 2 .. max(10, floor(share x candidates)) candidates cite it.
+    0.35 ln(1 + references); a reference is informative if 2 .. max(10, ceil(share x candidates)) candidates cite it.
     """
     refs = references.select("citing_work_id", "cited_work_id").distinct()
     sizes = refs.groupBy("citing_work_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_references)
@@ -83,7 +83,7 @@ def scalable_coupling(references: DataFrame, works: DataFrame, pool: int = 500,
     score = F.round(F.log1p(F.coalesce(F.col("cited_by_count"), F.lit(0)).cast("double")) + 0.35 * F.log1p(F.col("n").cast("double")), 9)
     top = rows.withColumn("score", score).orderBy(F.desc("score"), "citing_work_id").limit(pool).select("citing_work_id")
     kept = refs.join(F.broadcast(top), "citing_work_id")
-    counted = top.agg(F.greatest(F.lit(10), F.floor(F.count(F.lit(1)) * share)).alias("most"))
+    counted = top.agg(F.greatest(F.lit(10), F.ceil(F.count(F.lit(1)) * share)).alias("most"))
     informative = kept.groupBy("cited_work_id").agg(F.count(F.lit(1)).alias("df")).filter("df >= 2").crossJoin(F.broadcast(counted)).filter("df <= most").select("cited_work_id")
     return group_pairs(kept.join(informative, "cited_work_id"), "cited_work_id", "citing_work_id").filter(F.col("weight") >= least_shared)
 

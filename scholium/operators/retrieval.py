@@ -21,36 +21,50 @@ STOPWORDS = (
 ).split()
 
 
-def simple_tokens(text: Column) -> Column:
-    """Lower-cased [a-z0-9]+ runs of three or more characters that are neither stopwords nor numbers."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: (F.length(t) >= 3) & ~t.isin(*STOPWORDS) & ~t.rlike("^[0-9]+$"))
+def keyword_terms(text: str) -> Column:
+    """Terms of the column ``text``: valid tokens and pairs of neighbours that are both valid, of 3 to 80 characters.
 
+    Tokens are lower-cased [a-z0-9]+ runs; valid ones have three or more characters and are neither stopwords nor
+    numbers. Pairs are neighbours in the text, so no pair bridges a token that is left out.
+    """
+    stop = ", ".join(f"'{w}'" for w in STOPWORDS)
+
+    def valid(t: str) -> str:
+        return f"(length({t}) >= 3 AND {t} NOT IN ({stop}) AND NOT {t} RLIKE '^[0-9]+$')"
 
-def with_bigrams(tokens: Column) -> Column:
-    """Tokens followed by their adjacent pairs."""
-    pairs = F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t, i: F.concat(t, F.lit(" "), F.get(tokens, i + 1)))
-    return F.concat(tokens, pairs)
+    singles = f"filter(words, t -> {valid('t')})"
+    pairs = f"transform(slice(words, 1, greatest(size(words) - 1, 0)), (t, i) -> CASE WHEN {valid('t')} AND {valid('get(words, i + 1)')} THEN concat(t, ' ', get(words, i + 1)) END)"
+    # The array of one binds the tokens to a name: named in a lambda, an expression runs for every element.
+    terms = f"get(transform(array(split(lower({text}), '[^a-z0-9]+')), words -> concat({singles}, {pairs})), 0)"
+    return F.expr(f"filter({terms}, t -> length(t) BETWEEN 3 AND 80)")
 
 
 def derived_keywords(docs: DataFrame, key: str, text: str, top: int = 5, vocabulary: int = 5000) -> DataFrame:
-    """The ``top`` terms of each document by (1 + ln tf)(ln((N + 1) / (df + 1)) + 1).
+    """The ``top`` terms of each document by (1 + ln tf)(ln((N + 1) / (df + 1)) + 1); ``key`` is unique.
 
     Terms need a document frequency from 3 (2 below 100 documents) to max(that, floor(0.6 N)); of those the
-    ``vocabulary`` most frequent count. The vocabulary is bounded and broadcast.
+    ``vocabulary`` most frequent count. Document frequencies come first, combined beside the scan; only terms of
+    the vocabulary, which is bounded and broadcast, are counted by document.
     """
-    # Tokens are a column of their own: an expression repeated inside a lambda would run for every element.
-    terms = docs.select(key, simple_tokens(F.col(text)).alias("tokens")).select(key, F.explode(with_bigrams(F.col("tokens"))).alias("term"))
-    tf = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = docs.select(key, keyword_terms(text).alias("terms"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))
+    df = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))
     least = F.when(F.col("n") < 100, 2).otherwise(3)
     vocab = df.filter((F.col("df") >= least) & (F.col("df") <= F.greatest(least, F.floor(F.col("n") * 0.6)))).orderBy(F.desc("df"), "term").limit(vocabulary)
     score = F.round((1 + F.log("tf")) * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1), 6)
-    scored = tf.join(F.broadcast(vocab), "term").withColumn("score", score)
+    held = terms.select(key, F.explode("terms").alias("term")).join(F.broadcast(vocab), "term")
+    scored = held.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("df").alias("df"), F.first("n").alias("n")).withColumn("score", score)
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "term"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select(key, "term", "score")
 
 
+def derived_where_sparse(docs: DataFrame, key: str, text: str, keywords: DataFrame, least: float = 0.5) -> DataFrame:
+    """:func:`derived_keywords` where fewer than ``least`` of the documents have a keyword of their own, else no rows."""
+    covered = docs.join(keywords.select(key).distinct(), key, "left_semi").count()
+    found = derived_keywords(docs, key, text)
+    return found if covered < least * docs.count() else found.filter("false")
+
+
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of documents that hold a query term; idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 

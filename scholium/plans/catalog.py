@@ -170,7 +170,7 @@ query("g07_direct_citation", "SELECT citing_work_id, cited_work_id, count(*) AS
 )
 _CAP = ", o AS (SELECT item, count(DISTINCT work_id) AS occurrences FROM memberships GROUP BY item HAVING count(DISTINCT work_id) >= 2 ORDER BY occurrences DESC, item LIMIT 300), m AS (SELECT * FROM (SELECT DISTINCT work_id, item FROM memberships) JOIN o USING (item) QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY occurrences DESC, item) <= 3), e AS (" + _PAIRS.format(g="work_id", i="item") + ")"
 query("g01_pair_network", _CAP + " SELECT source, target, weight, weight / (a.occurrences * b.occurrences) AS association_strength FROM e JOIN o a ON a.item = source JOIN o b ON b.item = target")(lambda c: N.pair_network(c.memberships, "work_id", "item", 300, 3)[1])
-query("g06_scalable_coupling", ", r AS (SELECT DISTINCT citing_work_id, cited_work_id FROM refs), s AS (SELECT citing_work_id, count(*) AS n FROM r GROUP BY 1 HAVING count(*) >= 5), top AS (SELECT citing_work_id FROM s JOIN works ON work_id = citing_work_id ORDER BY round(ln(1 + coalesce(cited_by_count, 0)) + 0.35 * ln(1 + n), 9) DESC, citing_work_id LIMIT 500), k AS (SELECT * FROM r WHERE citing_work_id IN (FROM top)), inf AS (SELECT cited_work_id FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND greatest(10, floor(0.2 * (SELECT count(*) FROM top)))), m AS (SELECT * FROM k WHERE cited_work_id IN (FROM inf)) SELECT * FROM (" + _PAIRS.format(g="cited_work_id", i="citing_work_id") + ") WHERE weight >= 2")(
+query("g06_scalable_coupling", ", r AS (SELECT DISTINCT citing_work_id, cited_work_id FROM refs), s AS (SELECT citing_work_id, count(*) AS n FROM r GROUP BY 1 HAVING count(*) >= 5), top AS (SELECT citing_work_id FROM s JOIN works ON work_id = citing_work_id ORDER BY round(ln(1 + coalesce(cited_by_count, 0)) + 0.35 * ln(1 + n), 9) DESC, citing_work_id LIMIT 500), k AS (SELECT * FROM r WHERE citing_work_id IN (FROM top)), inf AS (SELECT cited_work_id FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND greatest(10, ceil(0.2 * (SELECT count(*) FROM top)))), m AS (SELECT * FROM k WHERE cited_work_id IN (FROM inf)) SELECT * FROM (" + _PAIRS.format(g="cited_work_id", i="citing_work_id") + ") WHERE weight >= 2")(
     lambda c: N.scalable_coupling(c.references, c.works)
 )
 query("g08_degrees", _edges("memberships", "work_id", "item", 200) + " SELECT node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS weighted_degree FROM (SELECT source AS node, weight FROM e UNION ALL SELECT target, weight FROM e) GROUP BY node")(lambda c: N.degrees(N.cooccurrence(c.memberships, "work_id", "item", 200)))
@@ -243,7 +243,7 @@ def exclusions(works: DataFrame, first: int, last: int) -> DataFrame:
 # ---- text ----
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
-query("d08_derived_keywords", f", t0 AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN {_STOP} AND NOT regexp_matches(t, '^[0-9]+$')) AS w FROM documents), t1 AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t0), tf AS (SELECT doc_id, term, count(*) AS tf FROM t1 GROUP BY ALL), nn AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), v AS (SELECT term, df, n FROM df, nn WHERE df BETWEEN (CASE WHEN n < 100 THEN 2 ELSE 3 END) AND greatest(CASE WHEN n < 100 THEN 2 ELSE 3 END, floor(n * 0.6)) ORDER BY df DESC, term LIMIT 5000), s AS (SELECT doc_id, term, round((1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1), 6) AS score FROM tf JOIN v USING (term)) SELECT doc_id, term, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) <= 5")(
+query("d08_derived_keywords", f", t0 AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS w FROM documents), t00 AS (SELECT doc_id, w, list_transform(w, lambda t: length(t) >= 3 AND t NOT IN {_STOP} AND NOT regexp_matches(t, '^[0-9]+$')) AS ok FROM t0), t1 AS (SELECT * FROM (SELECT doc_id, unnest(list_concat(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN ok[i] THEN w[i] END), list_transform(range(1, len(w)), lambda i: CASE WHEN ok[i] AND ok[i + 1] THEN w[i] || ' ' || w[i + 1] END))) AS term FROM t00) WHERE length(term) BETWEEN 3 AND 80), tf AS (SELECT doc_id, term, count(*) AS tf FROM t1 GROUP BY ALL), nn AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), v AS (SELECT term, df, n FROM df, nn WHERE df BETWEEN (CASE WHEN n < 100 THEN 2 ELSE 3 END) AND greatest(CASE WHEN n < 100 THEN 2 ELSE 3 END, floor(n * 0.6)) ORDER BY df DESC, term LIMIT 5000), s AS (SELECT doc_id, term, round((1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1), 6) AS score FROM tf JOIN v USING (term)) SELECT doc_id, term, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) <= 5")(
     lambda c: R.derived_keywords(c.documents, "doc_id", "text")
 )
 _ASK = ("the", "thing", "reason", "there", "der", "que", "licensed", "rights")
@@ -263,7 +263,6 @@ query("t09_cosine_top_k", ", q AS (SELECT embedding AS e FROM embeddings ORDER B
     lambda c: R.cosine_top_k(c.table("embeddings"), "vec_id", "embedding", list(c.table("embeddings").orderBy("vec_id").first()["embedding"]), 25)
 )
 query("t08_term_overlap", "SELECT doc_id, CAST(contains(lower(text), 'licensed') AS INT) + CAST(contains(lower(text), 'rights') AS INT) + CAST(contains(lower(text), 'work') AS INT) AS overlap FROM documents WHERE overlap > 0 ORDER BY overlap DESC, doc_id LIMIT 100")(lambda c: R.overlap_retrieval(c.documents, "doc_id", "text", "licensed rights work", 100))
-query("f04_title_key", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9_\\s-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS title_key FROM documents")(lambda c: c.documents.select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.substring("text", 1, 80)), r"[^a-z0-9_\s-]+", " "), r"\s+", " ")).alias("title_key")))
 query("f04_title_key_whole", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\\s-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS title_key FROM documents")(lambda c: c.documents.select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^a-z0-9_\s-]+", " "), r"\s+", " ")).alias("title_key")))
 query("f05_stable_id", "SELECT doc_id, 'work:' || substr(sha1(doc_id || chr(31) || lower(source)), 1, 20) AS id FROM documents")(lambda c: c.documents.select("doc_id", T.stable_id("work", F.col("doc_id"), F.col("source")).alias("id")))
 query("f13_slug", "SELECT c_custkey, left(regexp_replace(regexp_replace(lower(c_name || ' / ' || c_mktsegment), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS slug FROM customer")(lambda c: c.table("customer").select("c_custkey", T.slug(F.concat("c_name", F.lit(" / "), "c_mktsegment")).alias("slug")))

@@ -65,7 +65,6 @@ def _effects(c: Corpus) -> DataFrame:
     return c.table("supplier").join(nation, "s_nationkey").groupBy("s_nationkey").agg((F.avg("s_acctbal") / 1000).alias("x"))
 
 
-query("x03_sign_flip", _EFFECTS + " SELECT avg(CASE WHEN abs(f.s) >= abs(o.s) - 1e-9 THEN 1.0 ELSE 0 END) AS p_two_sided, avg(CASE WHEN f.s >= o.s - 1e-9 THEN 1.0 ELSE 0 END) AS p_greater, count(*) AS patterns, any_value(o.m) AS mean FROM f, o")(lambda c: X.sign_flip_test(_effects(c), "x"))
 query(
     "x03_sign_flip_regions",
     ", e AS (SELECT n_regionkey AS k, avg(s_acctbal) / 1000 AS x FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1)" + _EFFECTS[_EFFECTS.index(", f AS") :] + " SELECT avg(CASE WHEN abs(f.s) >= abs(o.s) - 1e-9 THEN 1.0 ELSE 0 END) AS p_two_sided, avg(CASE WHEN f.s >= o.s - 1e-9 THEN 1.0 ELSE 0 END) AS p_greater, count(*) AS patterns, any_value(o.m) AS mean FROM f, o",
