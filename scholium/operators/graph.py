@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 from collections import deque
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -254,11 +255,11 @@ def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(F.when(F.abs(top - expected) < 1e-12, 1.0).otherwise((F.col("both") - expected) / (top - expected)).alias("ari"))
 
 
-def descendants(spark: SparkSession, edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """(root, node, depth) reachable along directed (parent, child) edges; stops when nothing is new."""
+def descendants(spark: SparkSession, edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """(root, node, depth) reachable along directed (parent, child) edges, at most ``most`` steps away; ends when nothing is new."""
     seen = cut(spark, roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
     frontier = seen
-    for depth in range(1, most + 1):
+    for depth in count(1) if most is None else range(1, most + 1):
         step = frontier.join(edges, frontier["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
         frontier = cut(spark, step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

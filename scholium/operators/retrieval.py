@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,21 +68,24 @@ def derived_where_sparse(docs: DataFrame, key: str, text: str, keywords: DataFra
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of documents that hold a query term; idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
+    """(key, score) of documents that hold a query term; idf = ln(1 + (N - df + 0.5) / (df + 0.5)). ``key`` is unique.
 
-    Only query terms are counted, so the only shuffle is of short rows.
+    A first pass counts documents, lengths and each term's documents in one row, a second scores; no rows are shuffled.
     """
-    tokens = docs.select(key, word_tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
-    wanted = F.array(*[F.lit(q) for q in sorted(set(query))])
-    tf = F.transform(wanted, lambda q: F.struct(q.alias("term"), F.size(F.filter("tokens", lambda t: t == q)).alias("tf")))
-    rows = tokens.select(key, F.size("tokens").alias("length"), tf.alias("tfs"))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    hits = rows.select(key, "length", F.inline("tfs")).filter("tf > 0")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return rows.groupBy(key).agg(F.sum(part).alias("score"))
+    terms = sorted(set(query))
+    found = F.transform(F.array(word_tokens(F.coalesce(text, F.lit("")))), lambda words: F.struct(F.size(words).alias("length"), F.filter(words, lambda t: t.isin(terms)).alias("hits")))
+    # Named twice below, so that the scan's tokens stay a column of their own.
+    rows = docs.select(key, F.get(found, F.lit(0)).alias("found")).select(key, F.col("found.length").alias("length"), F.col("found.hits").alias("hits"))
+    held = [F.count_if(F.array_contains("hits", t)).cast("double") for t in terms]
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), F.array(*held).alias("df"))
+    n, norm = F.col("n"), k1 * (1 - b + b * F.col("length") / F.col("mean"))
+
+    def part(term: str, k: int):
+        tf, df = F.size(F.filter("hits", lambda t: t == term)), F.get("df", F.lit(k))
+        return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + norm)
+
+    score = reduce(lambda x, y: x + y, [part(t, k) for k, t in enumerate(terms)], F.lit(0.0))
+    return rows.filter(F.size("hits") > 0).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))
 
 
 def top_ranked(scores: DataFrame, key: str, k: int, digits: int = 9) -> DataFrame:

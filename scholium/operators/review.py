@@ -15,11 +15,9 @@ def capability(feedback: DataFrame, prior: tuple[float, float] = (1.0, 1.0), lea
     ``feedback`` has (reviewer, domain, issue, correct 0/1); one pass with GROUPING SETS. Levels with fewer
     than ``least`` observations are marked as not usable, so that a look-up backs off.
     """
-    feedback.createOrReplaceTempView("__feedback")
-    rows = feedback.sparkSession.sql(
-        "SELECT reviewer, domain, issue, grouping_id(reviewer, domain, issue) AS g, count(*) AS n, sum(correct) AS k FROM __feedback "
-        "GROUP BY GROUPING SETS ((reviewer, domain, issue), (reviewer, issue), (reviewer, domain), (reviewer), ())"
-    )
+    who, what, issue = (F.col(x) for x in ("reviewer", "domain", "issue"))
+    grouped = feedback.groupingSets([[who, what, issue], [who, issue], [who, what], [who], []], who, what, issue)
+    rows = grouped.agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.sum("correct").alias("k"))
     level = F.when(F.col("g") == 0, "exact").when(F.col("g") == 2, "issue").when(F.col("g") == 1, "domain").when(F.col("g") == 3, "reviewer").otherwise("all")
     mean = (F.col("k") + prior[0]) / (F.col("n") + prior[0] + prior[1])
     return rows.select("reviewer", "domain", "issue", level.alias("level"), "n", mean.alias("accuracy"), (F.col("n") >= least).alias("usable"))
