@@ -31,13 +31,11 @@ def keyword_terms(text: str) -> Column:
     """
     stop = ", ".join(f"'{w}'" for w in STOPWORDS)
 
-    def valid(t: str) -> str:
-        return f"(length({t}) >= 3 AND {t} NOT IN ({stop}) AND NOT {t} RLIKE '^[0-9]+$')"
-
-    singles = f"filter(words, t -> {valid('t')})"
-    pairs = f"transform(slice(words, 1, greatest(size(words) - 1, 0)), (t, i) -> CASE WHEN {valid('t')} AND {valid('get(words, i + 1)')} THEN concat(t, ' ', get(words, i + 1)) END)"
-    # The array of one binds the tokens to a name: named in a lambda, an expression runs for every element.
-    terms = f"get(transform(array(split(lower({text}), '[^a-z0-9]+')), words -> concat({singles}, {pairs})), 0)"
+    valid = f"length(t) >= 3 AND t NOT IN ({stop}) AND NOT t RLIKE '^[0-9]+$'"
+    words = f"transform(split(lower({text}), '[^a-z0-9]+'), t -> CASE WHEN {valid} THEN t END)"  # null where left out
+    pairs = "zip_with(slice(words, 1, greatest(size(words) - 1, 0)), slice(words, 2, greatest(size(words) - 1, 0)), (t, u) -> concat(t, ' ', u))"
+    # The array of one binds the words to a name: named in a lambda, an expression runs for every element.
+    terms = f"get(transform(array({words}), words -> concat(words, {pairs})), 0)"
     return F.expr(f"filter({terms}, t -> length(t) BETWEEN 3 AND 80)")
 
 

@@ -32,6 +32,8 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         configured = sc.getConf().get("spark.checkpoint.dir")
         if not configured:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             configured = tempfile.mkdtemp(prefix="scholium-checkpoint-")
             atexit.register(shutil.rmtree, configured, ignore_errors=True)
         sc.setCheckpointDir(configured)
