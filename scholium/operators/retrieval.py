@@ -48,11 +48,12 @@ def derived_keywords(docs: DataFrame, key: str, text: str, top: int = 5, vocabul
     """
     terms = docs.select(key, keyword_terms(text).alias("terms"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))
+    # explode would add a filter on the array's size, and with it the whole expression once more.
+    df = terms.select(F.explode_outer(F.array_distinct("terms")).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))
     least = F.when(F.col("n") < 100, 2).otherwise(3)
     vocab = df.filter((F.col("df") >= least) & (F.col("df") <= F.greatest(least, F.floor(F.col("n") * 0.6)))).orderBy(F.desc("df"), "term").limit(vocabulary)
     score = F.round((1 + F.log("tf")) * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1), 6)
-    held = terms.select(key, F.explode("terms").alias("term")).join(F.broadcast(vocab), "term")
+    held = terms.select(key, F.explode_outer("terms").alias("term")).join(F.broadcast(vocab), "term")
     scored = held.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("df").alias("df"), F.first("n").alias("n")).withColumn("score", score)
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "term"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select(key, "term", "score")
