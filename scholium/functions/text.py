@@ -171,7 +171,7 @@ def reference_label(title: Column, author: Column, year: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def normalize_statement(text: pd.Series) -> pd.Series:
-    """NFKC, case folded, dashes as hyphens, white space collapsed, no trailing punctuation."""
+    """NFKC, case folded, dashes as hyphens, white space collapsed, no full stops, colons or semicolons at the end."""
     import re
     import unicodedata
 
@@ -179,7 +179,7 @@ def normalize_statement(text: pd.Series) -> pd.Series:
         if t is None:
             return None
         t = re.sub(r"[‐-―−]", "-", unicodedata.normalize("NFKC", t).casefold())
-        return re.sub(r"\s+", " ", t).strip().rstrip(".;:,!? ")
+        return re.sub(r"\s+", " ", t).strip().rstrip(" .;:")
 
     return text.map(one)
 

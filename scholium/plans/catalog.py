@@ -79,7 +79,9 @@ query("j11_three_field", f"{_FLOW} SELECT * FROM flow")(lambda c: A.three_field(
 query("a25_three_field_marginals", f"{_FLOW} SELECT field, label, CAST(sum(works) AS BIGINT) AS total FROM (SELECT 'author_id' AS field, CAST(author_id AS VARCHAR) AS label, works FROM flow UNION ALL SELECT 'source_id', CAST(source_id AS VARCHAR), works FROM flow UNION ALL SELECT 'keyword', keyword, works FROM flow) GROUP BY ALL")(
     lambda c: A.marginals(A.three_field(c.authorships, c.works, c.keywords), ["author_id", "source_id", "keyword"], "works")
 )
-query("a26_identity_damage", "SELECT author_id, count(*) AS rows, count(DISTINCT work_id) AS works FROM authorships WHERE author_id % 7 = 0 GROUP BY author_id")(lambda c: A.identity_damage(c.authorships, "author_id", F.col("author_id") % 7 == 0))
+query("a26_identity_damage", "SELECT source_id, count(*) AS rows, count(DISTINCT work_id) AS works FROM works JOIN customer ON c_custkey = source_id WHERE c_acctbal < 0 GROUP BY source_id")(
+    lambda c: A.identity_damage(c.works.join(c.table("customer").select(F.col("c_custkey").alias("source_id"), "c_acctbal"), "source_id"), "source_id", F.col("c_acctbal") < 0)
+)
 query("a28_label_metrics", "SELECT lang, count(*) AS n, avg(CAST(quality AS DOUBLE)) AS good, avg(CAST(toxic AS DOUBLE)) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY lang")(
     lambda c: A.condition_metrics(c.documents.select("doc_id", "lang").join(c.table("labels"), "doc_id"), ["lang"], {"good": F.col("quality"), "toxic": F.col("toxic")})
 )
