@@ -410,6 +410,33 @@ def test_large_regions_split_into_cells(spark, size):
     assert components((at[u], at[v]) for u, v in found) == components(every)
 
 
+def test_dense_region_gives_up_many_balls_a_round(spark, monkeypatch):
+    """Thirty tight families that no cells part: few rounds, so that the driver plans few jobs, and no link is lost."""
+    common, texts = [f"c{i}" for i in range(160)], []
+    for family in range(30):
+        base = common + [f"w{family}x{i}" for i in range(60)]
+        texts += [" ".join([*base, f"e{family}x{k}"]) for k in range(6)]
+    sets = list(jaccard_join.shingle_sets(texts))
+    nodes = [jaccard_join.fingerprint(x) for x in sets]
+    rounds, assign = [], jaccard_join._assign
+    monkeypatch.setattr(jaccard_join, "_assign", lambda percent: rounds.append(1) or assign(percent))
+    members = spark.createDataFrame([(1, n, t) for n, t in zip(nodes, texts)], "region long, node long, text string")
+    links, left = jaccard_join._large_regions(spark, members, 80, 20, 64)
+    assert len(rounds) <= 8  # one ball a round: 27
+    c, at = jaccard_join.Components(len(sets)), {n: k for k, n in enumerate(nodes)}
+    for u, v in [(r["u"], r["v"]) for df in links for r in df.collect()]:
+        c.join(at[u], at[v])
+    for r in left.groupBy("region").agg(F.collect_list("node").alias("nodes")).collect():
+        own = [at[n] for n in r["nodes"]]
+        for a, b in jaccard_join.region_links([sets[k] for k in own], 80):
+            c.join(own[a], own[b])
+    every = jaccard_join.Components(len(sets))
+    for a, b in combinations(range(len(sets)), 2):
+        if jaccard_join.linked(sets[a], sets[b], 80):
+            every.join(a, b)
+    assert [c.root(k) for k in range(len(sets))] == [every.root(k) for k in range(len(sets))]
+
+
 def test_patterned_words_have_different_hashes():
     word = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
     other = word.translate(str.maketrans("ab", "ba"))
