@@ -57,6 +57,27 @@ def test_published_values(spark):
         X.sign_flip_test(spark.createDataFrame([], "x double"), "x")
 
 
+def test_sign_flip_of_more_effects(spark):
+    """Thirty effects against the exact distribution of integer sums; the 25 nations of y02."""
+    effects = [1, 2, 3, 5, 8, -4] * 5
+    ways = {0: 1}
+    for e in effects:
+        new = {}
+        for s, n in ways.items():
+            for t in (s + e, s - e):
+                new[t] = new.get(t, 0) + n
+        ways = new
+    r = X.sign_flip_test(spark.createDataFrame([(float(e),) for e in effects], "x double"), "x").first()
+    total = sum(effects)
+    assert r["patterns"] == 1 << 30
+    assert r["p_greater"] == sum(n for s, n in ways.items() if s >= total) / (1 << 30)
+    assert r["p_two_sided"] == sum(n for s, n in ways.items() if abs(s) >= total) / (1 << 30)
+    import __spark_entry__ as entry
+
+    got = entry.queries()["y02_equivalence"](spark, "/root/testdata/sf0.01").first()
+    assert 0 < got["p_value"] == max(got["p_low"], got["p_high"]) <= 1
+
+
 def test_review(spark):
     t = spark.createDataFrame([("g", "a", 5.0, 4.0, False), ("g", "b", 4.0, 4.0, False), ("g", "c", 3.0, 1.0, False), ("g", "d", 0.0, 9.0, True)], "g string, target_id string, priority double, cost double, mandatory boolean")
     assert [r["target_id"] for r in V.greedy_budget(t, "g", 14.0).orderBy("order").collect()] == ["d", "a", "c"]
