@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,17 @@ STOPWORDS = (
 ).split()
 
 
+def simple_tokens(text: Column) -> Column:
+    """Lower-cased [a-z0-9]+ runs of three or more characters that are neither stopwords nor numbers."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: (F.length(t) >= 3) & ~t.isin(*STOPWORDS) & ~t.rlike("^[0-9]+$"))
+
+
+def with_bigrams(tokens: Column) -> Column:
+    """Tokens followed by their adjacent pairs."""
+    pairs = F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t, i: F.concat(t, F.lit(" "), F.get(tokens, i + 1)))
+    return F.concat(tokens, pairs)
+
+
 def keyword_terms(text: str) -> Column:
     """Terms of the column ``text``: valid tokens and pairs of neighbours that are both valid, of 3 to 80 characters.
 
@@ -197,12 +209,14 @@ def latent_vectors(docs: DataFrame, key: str, text: str, dimensions: int = 48, v
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
-    rows = docs.select(key, simple_tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
+    rows = docs.select(key, simple_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
     counted = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocabulary, minDF=2.0).fit(rows).transform(rows)
     weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
     matrix = RowMatrix(weighted.select("tfidf").rdd.map(lambda r: Vectors.fromML(r[0])))
     k = min(dimensions, matrix.numCols() - 1)
-    v = matrix.computeSVD(k, False).V.toArray()  # vocabulary x k, bounded by both parameters
+    # The Gram matrix is bounded by the vocabulary and takes one pass, where an iterative solver takes one for each step.
+    _, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+    v = vectors[:, ::-1][:, :k]  # vocabulary x k, largest first
     basis = F.array(*[F.array(*[F.lit(float(x)) for x in v[:, j]]) for j in range(k)]) if v.size <= 2000 else None
     if basis is None:
         table = docs.sparkSession.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "term int, axis array<double>")
