@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,19 +43,61 @@ def paragraphs(docs: DataFrame, key: str, text: str, separator: str = "\n") -> D
     return rows.select(key, "paragraph", F.col("z.start").alias("start"), F.col("z.body").alias("body")).filter(F.trim("body") != "")
 
 
+def _similar_sets(sets: dict[int, frozenset], least: float) -> list[tuple[int, int, float]]:
+    """(left, right, similarity) of one document; equal sets are compared once, others on shingles of their rarest."""
+    classes: dict[frozenset, list[int]] = {}
+    for k, s in sorted(sets.items()):
+        classes.setdefault(s, []).append(k)
+    out = [(a, b, 1.0) for own in classes.values() for i, a in enumerate(own) for b in own[i + 1 :]]
+    held = Counter(g for s in classes for g in s)
+    index: dict[str, list[frozenset]] = {}
+    for s in sorted(classes, key=len):
+        n, seen = len(s), set()
+        shared = sorted((held[g], g) for g in s if held[g] > 1)
+        # Of a set's shingles, partners miss at most n - ceil(least n); those that it holds alone are missed for sure.
+        for _, g in shared[: max(0, len(shared) - math.ceil(least * n - 1e-9) + 1)]:
+            for other in index.get(g, ()):
+                if other not in seen and len(other) >= least * n - 1e-9:
+                    seen.add(other)
+                    both = len(s & other)
+                    similarity = both / (n + len(other) - both)
+                    if similarity >= least:
+                        out += [(min(a, b), max(a, b), similarity) for a in classes[s] for b in classes[other]]
+            index.setdefault(g, []).append(s)
+    return out
+
+
 def near_duplicate_paragraphs(rows: DataFrame, group: str, ident: str, text: str, size: int = 5, least: float = 0.8) -> DataFrame:
     """Pairs of paragraphs of one document with Jaccard similarity of word shingles of at least ``least``.
 
-    Paragraphs meet only on shared shingles within their own document.
+    Paragraphs go to their document's task once, as words; no shingle is shuffled. Rows with one ``ident`` of a
+    ``group`` are one paragraph; a null group has no pairs.
     """
-    w = F.col("w")
-    shingle = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
-    sets = rows.select(group, ident, words(F.col(text)).alias("w")).filter(F.size("w") > 0).select(group, ident, F.array_distinct(shingle).alias("s"))
-    flat = sets.select(group, ident, F.size("s").alias("n"), F.explode("s").alias("g"))
-    a, b = flat, flat.select(group, F.col(ident).alias("other"), F.col("n").alias("m"), "g")
-    pairs = a.join(b, [group, "g"]).filter(F.col(ident) < F.col("other")).groupBy(group, ident, "other", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    similarity = F.col("c") / (F.col("n") + F.col("m") - F.col("c"))
-    return pairs.filter(similarity >= least).select(group, F.col(ident).alias("left"), F.col("other").alias("right"), F.round(similarity, 6).alias("similarity"))
+
+    def pairs(batches):
+        import pandas as pd
+
+        now, sets = None, {}
+
+        def solved():
+            return [(now, a, b, s) for a, b, s in _similar_sets({k: frozenset(v) for k, v in sets.items()}, least)] if len(sets) > 1 else []
+
+        for batch in batches:
+            out = []
+            for g, k, body in zip(batch[group], batch[ident], batch["w"], strict=True):
+                if g != now:
+                    out += solved()
+                    now, sets = g, {}
+                w = body.split(" ")
+                sets.setdefault(k, set()).update(" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1)))
+            yield pd.DataFrame(out, columns=[group, "left", "right", "similarity"])
+        yield pd.DataFrame(solved(), columns=[group, "left", "right", "similarity"])
+
+    body = F.trim(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " "))
+    sent = rows.select(group, ident, body.alias("w")).filter(F.col(group).isNotNull() & (F.col("w") != "")).repartition(group).sortWithinPartitions(group)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (group, ident)}
+    found = sent.mapInPandas(pairs, f"`{group}` {kinds[group]}, left {kinds[ident]}, right {kinds[ident]}, similarity double")
+    return found.select(group, "left", "right", F.round("similarity", 6).alias("similarity"))
 
 
 def section_entropy(rows: DataFrame, key: str, section: str, size: str) -> DataFrame:

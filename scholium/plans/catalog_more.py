@@ -108,7 +108,7 @@ query("n01_article_diagnostics")(lambda c: D.article_diagnostics(c.documents, "d
 query("n04_summary", ", s AS (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS words FROM documents) SELECT 'words' AS metric, avg(words) AS mean, quantile_cont(CAST(words AS DOUBLE), 0.5) AS median FROM s")(lambda c: D.summarize(c.documents.select(F.size(D.words(F.coalesce("text", F.lit("")))).alias("words")), ["words"]))
 query("n05_paragraphs", ", p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents), q AS (SELECT doc_id, p, unnest(range(0, len(p))) AS i FROM p) SELECT doc_id, CAST(i AS INTEGER) AS paragraph, CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: length(x) + 1)), 0) AS INTEGER) AS start, p[i + 1] AS body FROM q WHERE trim(p[i + 1]) <> ''")(lambda c: D.paragraphs(c.documents, "doc_id", "text"))
 query("n02_near_duplicate_paragraphs", ", p AS (SELECT doc_id, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS i, string_split(coalesce(text, ''), chr(10)) AS ps FROM documents), w AS (SELECT doc_id, i, regexp_extract_all(lower(ps[i + 1]), '[a-z0-9]+') AS w FROM p WHERE trim(ps[i + 1]) <> ''), s AS (SELECT DISTINCT doc_id, i, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda k: array_to_string(w[k:k + 4], ' '))) AS g FROM w WHERE len(w) > 0), n AS (SELECT doc_id, i, count(*) AS n FROM s GROUP BY ALL), c AS (SELECT a.doc_id, a.i AS l, b.i AS r, count(*) AS c FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i GROUP BY ALL) SELECT c.doc_id, CAST(l AS INTEGER) AS \"left\", CAST(r AS INTEGER) AS \"right\", round(c / (x.n + y.n - c), 6) AS similarity FROM c JOIN n x ON x.doc_id = c.doc_id AND x.i = l JOIN n y ON y.doc_id = c.doc_id AND y.i = r WHERE c / (x.n + y.n - c) >= 0.8")(
-    lambda c: D.near_duplicate_paragraphs(D.paragraphs(c.documents, "doc_id", "text"), "doc_id", "paragraph", "body")
+    lambda c: D.near_duplicate_paragraphs(c.documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "body")).filter(F.trim("body") != ""), "doc_id", "paragraph", "body")
 )
 query("n03_opening_repeats")(lambda c: D.opening_repeats(c.documents, "doc_id", "text"))
 query("n03_section_entropy", ", s AS (SELECT lang, source, sum(n_chars) AS n FROM documents GROUP BY ALL), p AS (SELECT lang, n / sum(n) OVER (PARTITION BY lang) AS p FROM s) SELECT lang, CASE WHEN count(*) > 1 THEN sum(-p * ln(p)) / ln(count(*)) ELSE 0.0 END AS entropy FROM p GROUP BY lang")(lambda c: D.section_entropy(c.documents, "lang", "source", "n_chars"))
