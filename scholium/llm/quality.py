@@ -5,13 +5,13 @@ loss on feature differences. The threshold is a quantile of the training scores,
 share of label 0, and the reported score is the logistic of the distance to it.
 
 Features are about fifty statistics of the whole text: sizes, shares of character kinds,
-repetition of words and lines, word shapes, marks glued to words, function words. The ranking is
-fitted on at most ``most_rows`` labelled rows, half of each label, first by a hash of the
-id; scoring covers every row.
+repetition of words and lines, word shapes, marks glued to words, function words. The ranking,
+its scales and its threshold are fitted on every labelled row that is not held out; scoring
+covers every row.
 
 Defined cases: null text counts as empty, and empty texts get the score of their features;
 without labels of both kinds every score is 0.5; labels are joined on non-null ids, and an
-id with several labels counts as its smallest, one with several texts as the least; a null id is not held out; an empty table
+id with several labels counts as its smallest, and each row of an id as labelled; a null id is not held out; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -22,11 +22,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm.language import held_out, lowest_hashes
-from scholium.llm.shared import given_back, sent_id
+from scholium.llm.language import held_out
+from scholium.llm.shared import cut, given_back, sent_id
 
 GLUED = re.compile(r"\w[^\w\s'’.,;:!?)\]\"»-]")
 SHOUT = re.compile(r"\b[^\W\d_a-z]{3,}\b")
@@ -86,11 +86,12 @@ class QualityModel:
         return expand((x - self.mean) * self.scale) @ self.weights
 
     def score(self, texts: list[str]) -> np.ndarray:
+        return self.of(np.stack([features(t) for t in texts])) if texts else np.zeros(0)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
         if not len(self.weights):
-            return np.full(len(texts), 0.5)
-        if not texts:
-            return np.zeros(0)
-        z = (self.strength(np.stack([features(t) for t in texts])) - self.threshold) / self.spread
+            return np.full(len(x), 0.5)
+        z = (self.strength(x) - self.threshold) / self.spread
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -124,21 +125,135 @@ def _featurize(batches):
     import pandas as pd
 
     for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": [features(t or "").tolist() for t in batch["text"]]})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "x": [features(t or "").tobytes() for t in batch["text"]]})
+
+
+def _matrix(blobs) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.float32).reshape(len(blobs), -1).astype(np.float64)
+
+
+def pair_sums(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Over all (label 1, label 0) pairs of some rows: their number, summed loss, gradient and Hessian of the logistic loss."""
+    a, b = z[y == 1], z[y == 0]
+    margin = np.clip((a @ w)[:, None] - (b @ w)[None, :], -30, 30)
+    lose = 1 / (1 + np.exp(margin))
+    bend = lose * (1 - lose)
+    gradient = b.T @ lose.sum(0) - a.T @ lose.sum(1)
+    cross = a.T @ bend @ b
+    hessian = (a.T * bend.sum(1)) @ a + (b.T * bend.sum(0)) @ b - cross - cross.T
+    return float(margin.size), float(np.log1p(np.exp(-margin)).sum()), gradient, hessian
+
+
+def _summed(tables) -> np.ndarray:
+    """The sum of the arrays in a one-column table of blobs, a few rows for each task."""
+    total = 0
+    for row in tables.toLocalIterator():
+        total = total + np.frombuffer(row[0], np.float64)
+    return total
+
+
+def _sums_of(mean: np.ndarray, scale: np.ndarray, w: np.ndarray):
+    """Each task's sums over all pairs of its buckets; rows come sorted by bucket."""
+
+    def run(batches):
+        import pandas as pd
+
+        total, now, blobs, labels = 0, None, [], []
+
+        def solved():
+            y = np.array(labels)
+            if not (y == 1).any() or not (y == 0).any():
+                return 0
+            n, loss, gradient, hessian = pair_sums(expand((_matrix(blobs) - mean) * scale), y, w)
+            return np.concatenate([[n, loss], gradient, hessian.ravel()])
+
+        for batch in batches:
+            for bucket, quality, x in zip(batch["bucket"], batch["quality"], batch["x"], strict=True):
+                if bucket != now:
+                    total = total + solved()
+                    now, blobs, labels = bucket, [], []
+                blobs.append(x)
+                labels.append(quality)
+        total = total + solved()
+        yield pd.DataFrame({"sums": [total.tobytes()] if isinstance(total, np.ndarray) else []}, dtype=object)
+
+    return run
 
 
-def fit_from_labels(docs: DataFrame, labels: DataFrame, most_rows: int = 4000) -> QualityModel:
+def _moments(batches):
+    import pandas as pd
+
+    for batch in batches:
+        if len(batch):
+            x = _matrix(batch["x"])
+            yield pd.DataFrame({"sums": [np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]).tobytes()]})
+
+
+def _strengths(model: QualityModel):
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            s = model.strength(_matrix(batch["x"])) if len(batch) else np.zeros(0)
+            yield pd.DataFrame({"quality": batch["quality"], "s": s})
+
+    return run
+
+
+def order_statistic(values: DataFrame, name: str, k: int, gather: int = 10_000) -> float:
+    """The k-th smallest value, from 0: ranges are counted and narrowed until few values are left."""
+    low, high, n = values.agg(F.min(name), F.max(name), F.count(name)).first()
+    while n > gather and low < high:
+        step = (high - low) / 1024
+        if low + step == low:
+            break
+        bins = values.filter(F.col(name).between(low, high)).groupBy(F.least(F.lit(1023), F.floor((F.col(name) - low) / step)).alias("bin"))
+        for r in sorted(bins.agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("low"), F.max(name).alias("high")).collect()):
+            if k < r["n"]:
+                low, high, n = r["low"], r["high"], r["n"]
+                break
+            k -= r["n"]
+    if low >= high or n > gather:
+        return low
+    return sorted(r[0] for r in values.filter(F.col(name).between(low, high)).select(name).collect())[k]
+
+
+def fit_from_labels(spark: SparkSession, described: DataFrame, labels: DataFrame, size: int = 1024, fewest: int = 64, rounds: int = 30, penalty: float = 3e-3) -> QualityModel:
+    """The model of every labelled row that is not held out; ``described`` has (doc_id, x) of all rows.
+
+    Rows are dealt to buckets of about ``size``, the rarer label's to several where needed for ``fewest`` of it in
+    each, and Newton's method takes all pairs of a bucket. Tasks sum; the driver gets the sums.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).filter("id IS NOT NULL AND quality IN (0, 1)")
     known = known.filter(~held_out(F.col("id"), 3, 1)).groupBy("id").agg(F.min("quality").alias("quality"))
-    shares = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    known = lowest_hashes(known.withColumn("order", F.xxhash64(F.col("id"), F.lit(13))), "quality", "order", most_rows // 2, shares)
-    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("quality").orderBy("order", "id")))
-    chosen = ranked.filter(F.col("rank") <= most_rows // 2).select("id", "quality")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # at most ``most_rows``
-    got = rows.mapInPandas(_featurize, "doc_id long, quality int, x array<float>").orderBy("doc_id").collect()
-    x = np.array([r["x"] for r in got], np.float64) if got else np.zeros((0, 1))
-    return fit_quality(x, np.array([r["quality"] for r in got]), shares.get(0, 0) / max(1, sum(shares.values())))
+    rows = cut(spark, described.join(known, F.col("doc_id") == F.col("id")).select("id", "quality", "x"))
+    many = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
+    if len(many) < 2:
+        return QualityModel(np.zeros(1), np.ones(1), np.zeros(0), 0.0, 1.0)
+    n = sum(many.values())
+    sums = _summed(rows.select("x").mapInPandas(_moments, "sums binary"))
+    half = (len(sums) - 1) // 2
+    mean = sums[1 : half + 1] / n
+    scale = 1 / (np.sqrt(np.maximum(0, sums[half + 1 :] / n - mean * mean)) + 1e-3)
+    buckets = -(-n // size)
+    copies = F.when(F.col("quality") == min(many, key=many.get), min(buckets, -(-fewest * buckets // min(many.values())))).otherwise(1)
+    bucket = F.pmod(F.pmod(F.xxhash64("id", "x"), F.lit(buckets)) + F.col("copy"), F.lit(buckets)).cast("int").alias("bucket")
+    copied = rows.select("id", "quality", "x", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    dealt = cut(spark, copied.select("quality", "x", bucket).repartition("bucket").sortWithinPartitions("bucket"))
+    w = np.zeros(3 * half)
+    for _ in range(rounds):
+        sums = _summed(dealt.mapInPandas(_sums_of(mean, scale, w), "sums binary"))
+        gradient = sums[2 : 2 + len(w)] / sums[0] + penalty * w
+        step = np.linalg.solve(sums[2 + len(w) :].reshape(len(w), -1) / sums[0] + penalty * np.eye(len(w)), gradient)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    model = QualityModel(mean, scale, w, 0.0, 1.0)
+    scored = cut(spark, rows.select("quality", "x").mapInPandas(_strengths(model), "quality int, s double"))
+    means = {r["quality"]: r["s"] for r in scored.groupBy("quality").agg(F.avg("s").alias("s")).collect()}
+    model.threshold = (order_statistic(scored, "s", many[0] - 1) + order_statistic(scored, "s", many[0])) / 2
+    model.spread = max(1e-6, (means[1] - means[0]) / 8)
+    return model
 
 
 def _scorer(model: QualityModel):
@@ -146,14 +261,15 @@ def _scorer(model: QualityModel):
         import pandas as pd
 
         for batch in batches:
-            s = model.score([t or "" for t in batch["text"]])
+            s = model.of(_matrix(batch["x"])) if len(batch) else np.zeros(0)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
     return score
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row."""
-    model = fit_from_labels(docs, labels)
+    """doc_id, held_out, score and predicted for every row; each text is read once, for its features."""
     rows = docs.select(sent_id("doc_id"), held_out(F.col("doc_id"), 3, 1).alias("held_out"), "text")
-    return given_back(rows.mapInPandas(_scorer(model), "doc_id long, held_out boolean, score double, predicted int"), "doc_id")
+    described = cut(spark, rows.mapInPandas(_featurize, "doc_id long, held_out boolean, x binary"))
+    model = fit_from_labels(spark, described, labels)
+    return given_back(described.mapInPandas(_scorer(model), "doc_id long, held_out boolean, score double, predicted int"), "doc_id")

@@ -4,6 +4,7 @@ import html
 import random
 import re
 import time
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scholium.llm import decontaminate, html_text, jaccard_join, language, packing, pii, warc
 from scholium.llm.exact_dedup import CuckooIndex
+from scholium.llm import quality as quality_module
 from scholium.llm.quality import features, fit_quality
 from scholium.llm.quality import quality as score_quality
 from scholium.llm.tokens import encoder, vocabulary_path
@@ -292,6 +294,23 @@ def test_quality_of_repeated_ids(spark):
     assert len(got) == 51 and len(set(got)) <= 2  # equal texts, equal scores
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """5000 labelled rows, more than any bucket or former sample: the model has the means of all, and the optimum over pairs."""
+    rows = [(k, ("This is a plain sentence. " if k % 3 else "x | x ") * (1 + k % 7)) for k in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    labels = spark.createDataFrame([(k, int(k % 3 > 0) if k % 10 else k % 2, 0) for k, _ in rows], "doc_id long, quality int, toxic int")
+    described = docs.mapInPandas(quality_module._featurize, "doc_id long, held_out boolean, x binary")
+    model = quality_module.fit_from_labels(spark, described, labels, size=500)
+    own = [(features(t).astype(float), int(k % 3 > 0) if k % 10 else k % 2) for k, t in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    x, y = np.array([f for f, _ in own]), np.array([q for _, q in own])
+    assert len(x) > 4000 and model.mean == pytest.approx(x.mean(0), rel=1e-5, abs=1e-6)
+    s = np.sort(model.strength(x))
+    k = int((y == 0).sum())
+    assert model.threshold == pytest.approx((s[k - 1] + s[k]) / 2, abs=1e-6)
+    n, _, gradient, _ = quality_module.pair_sums(quality_module.expand((x - model.mean) * model.scale), y, model.weights)
+    assert np.abs(gradient / n + 3e-3 * model.weights).max() < 0.02  # of all pairs; buckets take their own
+
+
 def plain_article(page):
     """Words of the article by cutting strings: marked elements out, tags out, references decoded."""
     body = re.search(r"<article[^>]*>(.*?)</article>", page, re.S).group(1)
