@@ -17,6 +17,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -144,12 +145,21 @@ def pair_sums(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(margin.size), float(np.log1p(np.exp(-margin)).sum()), gradient, hessian
 
 
-def _summed(tables) -> np.ndarray:
-    """The sum of the arrays in a one-column table of blobs, a few rows for each task."""
+def _added(batches):
+    import pandas as pd
+
     total = 0
-    for row in tables.toLocalIterator():
-        total = total + np.frombuffer(row[0], np.float64)
-    return total
+    for batch in batches:
+        for blob in batch["sums"]:
+            total = total + np.frombuffer(blob, np.float64)
+    yield pd.DataFrame({"sums": [total.tobytes()] if isinstance(total, np.ndarray) else []}, dtype=object)
+
+
+def _summed(tables: DataFrame, tasks: int) -> np.ndarray:
+    """The sum of the arrays that ``tasks`` tasks give as blobs, in one job; of more than 16 tasks, groups are added up by tasks first."""
+    if tasks > 16:
+        tables = tables.repartition(math.isqrt(tasks)).mapInPandas(_added, "sums binary")
+    return sum(np.frombuffer(r[0], np.float64) for r in tables.collect())
 
 
 def _sums_of(mean: np.ndarray, scale: np.ndarray, w: np.ndarray):
@@ -231,18 +241,21 @@ def fit_from_labels(spark: SparkSession, described: DataFrame, labels: DataFrame
     if len(many) < 2:
         return QualityModel(np.zeros(1), np.ones(1), np.zeros(0), 0.0, 1.0)
     n = sum(many.values())
-    sums = _summed(rows.select("x").mapInPandas(_moments, "sums binary"))
+    buckets = -(-n // size)
+    # Passes take as many tasks as the buckets fill, four in each, however many partitions the shuffles made.
+    tasks = -(-buckets // 4)
+    rows = rows.coalesce(tasks)
+    sums = _summed(rows.select("x").mapInPandas(_moments, "sums binary"), tasks)
     half = (len(sums) - 1) // 2
     mean = sums[1 : half + 1] / n
     scale = 1 / (np.sqrt(np.maximum(0, sums[half + 1 :] / n - mean * mean)) + 1e-3)
-    buckets = -(-n // size)
     copies = F.when(F.col("quality") == min(many, key=many.get), min(buckets, -(-fewest * buckets // min(many.values())))).otherwise(1)
     bucket = F.pmod(F.pmod(F.xxhash64("id", "x"), F.lit(buckets)) + F.col("copy"), F.lit(buckets)).cast("int").alias("bucket")
     copied = rows.select("id", "quality", "x", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
-    dealt = cut(spark, copied.select("quality", "x", bucket).repartition("bucket").sortWithinPartitions("bucket"))
+    dealt = cut(spark, copied.select("quality", "x", bucket).repartition(tasks, "bucket").sortWithinPartitions("bucket")).coalesce(tasks)
     w = np.zeros(3 * half)
     for _ in range(rounds):
-        sums = _summed(dealt.mapInPandas(_sums_of(mean, scale, w), "sums binary"))
+        sums = _summed(dealt.mapInPandas(_sums_of(mean, scale, w), "sums binary"), tasks)
         gradient = sums[2 : 2 + len(w)] / sums[0] + penalty * w
         step = np.linalg.solve(sums[2 + len(w) :].reshape(len(w), -1) / sums[0] + penalty * np.eye(len(w)), gradient)
         w = w - step

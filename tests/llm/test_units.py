@@ -311,6 +311,42 @@ def test_quality_learns_from_every_labelled_row(spark):
     assert np.abs(gradient / n + 3e-3 * model.weights).max() < 0.02  # of all pairs; buckets take their own
 
 
+def test_quality_passes_over_many_partitions(spark):
+    """61 shuffle partitions that stay apart, as on a cluster: each pass is one job, not one for each partition, and the model is the same."""
+    rows = [(k, ("This is a plain sentence. " if k % 3 else "x | x ") * (1 + k % 7)) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    labels = spark.createDataFrame([(k, int(k % 3 > 0) if k % 10 else k % 2, 0) for k, _ in rows], "doc_id long, quality int, toxic int")
+    described = docs.mapInPandas(quality_module._featurize, "doc_id long, held_out boolean, x binary")
+    few = quality_module.fit_from_labels(spark, described, labels, size=50)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("many", "passes over 61 partitions")
+    try:
+        many = quality_module.fit_from_labels(spark, described, labels, size=50)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("many")) < 110  # up to 30 passes, 2 jobs each with a shuffle
+    assert many.weights == pytest.approx(few.weights, abs=1e-6) and many.threshold == pytest.approx(few.threshold, abs=1e-6)
+
+
+def test_sums_of_many_tasks(spark):
+    """Sums of one task, of a few and of many, some of them empty."""
+    rows = spark.range(300).select(F.col("id").cast("double").alias("x"))
+
+    def sums(batches):
+        import pandas as pd
+
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"sums": [np.array([len(batch), batch["x"].sum()]).tobytes()]})
+
+    for tasks in (1, 16, 17, 70):
+        assert quality_module._summed(rows.repartition(tasks).mapInPandas(sums, "sums binary"), tasks).tolist() == [300, 44850]
+
+
 def plain_article(page):
     """Words of the article by cutting strings: marked elements out, tags out, references decoded."""
     body = re.search(r"<article[^>]*>(.*?)</article>", page, re.S).group(1)
