@@ -231,8 +231,8 @@ def order_statistic(values: DataFrame, name: str, k: int, gather: int = 10_000)
 def fit_from_labels(spark: SparkSession, described: DataFrame, labels: DataFrame, size: int = 1024, fewest: int = 64, rounds: int = 30, penalty: float = 3e-3) -> QualityModel:
     """The model of every labelled row that is not held out; ``described`` has (doc_id, x) of all rows.
 
-    Rows are dealt to buckets of about ``size``, the rarer label's to several where needed for ``fewest`` of it in
-    each, and Newton's method takes all pairs of a bucket. Tasks sum; the driver gets the sums.
+    Rows are dealt to buckets of about ``size``, equal rows of an id in turn, the rarer label's to several where needed
+    for ``fewest`` of it in each, and Newton's method takes all pairs of a bucket. Tasks sum; the driver gets the sums.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).filter("id IS NOT NULL AND quality IN (0, 1)")
     known = known.filter(~held_out(F.col("id"), 3, 1)).groupBy("id").agg(F.min("quality").alias("quality"))
@@ -250,8 +250,9 @@ def fit_from_labels(spark: SparkSession, described: DataFrame, labels: DataFrame
     mean = sums[1 : half + 1] / n
     scale = 1 / (np.sqrt(np.maximum(0, sums[half + 1 :] / n - mean * mean)) + 1e-3)
     copies = F.when(F.col("quality") == min(many, key=many.get), min(buckets, -(-fewest * buckets // min(many.values())))).otherwise(1)
-    bucket = F.pmod(F.pmod(F.xxhash64("id", "x"), F.lit(buckets)) + F.col("copy"), F.lit(buckets)).cast("int").alias("bucket")
-    copied = rows.select("id", "quality", "x", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    bucket = F.pmod(F.pmod(F.xxhash64("id", "x"), F.lit(buckets)) + F.col("same") + F.col("copy"), F.lit(buckets)).cast("int").alias("bucket")
+    each = rows.groupBy("id", "quality", "x").agg(F.count(F.lit(1)).alias("n")).select("id", "quality", "x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("same"))
+    copied = each.select("*", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
     dealt = cut(spark, copied.select("quality", "x", bucket).repartition(tasks, "bucket").sortWithinPartitions("bucket")).coalesce(tasks)
     w = np.zeros(3 * half)
     for _ in range(rounds):

@@ -332,6 +332,16 @@ def test_quality_passes_over_many_partitions(spark):
     assert many.weights == pytest.approx(few.weights, abs=1e-6) and many.threshold == pytest.approx(few.threshold, abs=1e-6)
 
 
+def test_quality_of_large_groups_of_equal_rows(spark):
+    """Two ids of 3000 equal rows each, in six buckets: every bucket gets rows of both, whichever the hashes are."""
+    one, *others = [k for k in range(12) if zlib.crc32(str(k).encode()) % 3 != 1]
+    for other in others[:3]:
+        docs = spark.createDataFrame([(one, "A plain text. It ends.")] * 3000 + [(other, "x | x")] * 3000, "doc_id long, text string")
+        labels = spark.createDataFrame([(one, 1, 0), (other, 0, 0)], "doc_id long, quality int, toxic int")
+        got = score_quality(spark, docs, labels).groupBy("doc_id", "predicted").count().collect()
+        assert {tuple(r) for r in got} == {(one, 1, 3000), (other, 0, 3000)}
+
+
 def test_sums_of_many_tasks(spark):
     """Sums of one task, of a few and of many, some of them empty."""
     rows = spark.range(300).select(F.col("id").cast("double").alias("x"))
